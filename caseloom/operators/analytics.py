@@ -266,10 +266,10 @@ def expected_measures(selection: DataFrame, cases: DataFrame, by: str) -> DataFr
     )
 
 
-def model_measures(df: DataFrame, by: list[str]) -> DataFrame:
+def model_measures(df: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
     """Mean score, and routing accuracy over the rows that have a prediction."""
     return df.groupBy(*by).agg(
-        mean_of_rounded("relief_score").alias("avg_relief_score"),
+        mean_of_rounded("relief_score", digits).alias("avg_relief_score"),
         ratio(F.sum(F.col("route_correct").cast("long")), F.count("route_correct")).alias("routing_accuracy"),
     )
 

@@ -43,3 +43,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
     The count stops at max_rows + 1 rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def look_up(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str,
+            max_rows: int = 1_000_000) -> DataFrame:
+    """Left join with a written or checkpointed lookup: broadcast up to `max_rows` rows, and
+    `attach_by_key` beyond that."""
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(lookup), key, "left")
+    return attach_by_key(rows, lookup, key, weight, spread)
