@@ -1,5 +1,5 @@
 """Descriptive analyses of the case table. One pass over the cases each."""
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom import settings as S
 from caseloom.functions.numbers import mean_of_rounded, percent, percent_of, rate, ratio, whole_div
@@ -7,7 +7,10 @@ from caseloom.operators.standardize import (
     cell_totals, flag_cells, group_cells, standardize_cells, stratum_totals,
 )
 
-EVERYTHING = Window.partitionBy()   # only ever used over aggregated rows
+
+def over_all(aggregate: Column) -> Column:
+    """Total over all rows; only ever used on aggregated rows."""
+    return aggregate.over(Window.partitionBy())
 
 
 def kpis(df: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def product_rates(df: DataFrame) -> DataFrame:
             percent_of("timely").alias("timely_pct"),
             whole_div(words * 2 + F.count("*"), F.count("*") * 2).alias("avg_words"),
         )
-        .withColumn("share_pct", percent(F.col("cases"), F.sum("cases").over(EVERYTHING)))
+        .withColumn("share_pct", percent(F.col("cases"), over_all(F.sum("cases"))))
         .orderBy(F.desc("cases"), "product")
     )
 
@@ -55,7 +58,7 @@ def company_benchmark(df: DataFrame, other: str = S.OTHER_COMPANIES) -> DataFram
             percent(F.sum("timely"), cases).alias("timely_pct"),
             F.min_by("product", F.struct(-F.col("n"), F.col("product"))).alias("main_product"),
         )
-        .withColumn("share_pct", percent(F.col("cases"), F.sum("cases").over(EVERYTHING)))
+        .withColumn("share_pct", percent(F.col("cases"), over_all(F.sum("cases"))))
         .orderBy(F.col("company") == other, F.desc("cases"), "company")
     )
 
@@ -137,8 +140,8 @@ def region_mix(df: DataFrame) -> DataFrame:
             percent_of(F.when(inside == 0, relief)).alias("rest_relief_pct"),
         )
         .withColumns({
-            "region_mix_pct": percent(F.col("region_cases"), F.sum("region_cases").over(EVERYTHING)),
-            "rest_mix_pct": percent(F.col("rest"), F.sum("rest").over(EVERYTHING)),
+            "region_mix_pct": percent(F.col("region_cases"), over_all(F.sum("region_cases"))),
+            "rest_mix_pct": percent(F.col("rest"), over_all(F.sum("rest"))),
         })
         .drop("rest").orderBy(F.desc("region_cases"), "product")
     )
@@ -177,19 +180,19 @@ def theme_profile(df: DataFrame) -> DataFrame:
     expected = standardize_cells(
         cells, cell_totals(cells, "product"), ["theme"], "product", "outside"
     ).select("theme", F.col("expected").alias("expected_rate"))
-    total = F.sum("cases").over(EVERYTHING)
+    total = over_all(F.sum("cases"))
     return (
         profile.join(expected, "theme")
         .withColumn("share", ratio(F.col("cases"), total))
         .withColumn("relief_index", F.try_divide(
-            F.col("relief_rate"), ratio(F.sum("_hits").over(EVERYTHING), total)))
+            F.col("relief_rate"), ratio(over_all(F.sum("_hits")), total)))
         .drop("_hits").orderBy(F.desc("cases"), "theme")
     )
 
 
 def share_and_index(df: DataFrame, group: str, outcome: str = "relief") -> DataFrame:
     """Share of all cases and rate against the overall rate, per group."""
-    total, hits = F.sum("cases").over(EVERYTHING), F.sum("hits").over(EVERYTHING)
+    total, hits = over_all(F.sum("cases")), over_all(F.sum("hits"))
     return (
         df.groupBy(group).agg(F.count("*").alias("cases"), F.sum(outcome).alias("hits"))
         .select(

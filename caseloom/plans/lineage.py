@@ -1,5 +1,6 @@
-"""Cutting lineage so that iterative work survives lost executors."""
+"""Cutting lineage so that iterative and repeated work survives lost executors."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -9,16 +10,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if shared:
-        if current is None or not current.startswith(shared):
-            spark.sparkContext.setCheckpointDir(shared)
-    elif current is None:
+        return shared
+    if current is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and read on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a new table in the shared folder and read on from there.
+
+    A Parquet table rather than checkpoint(): later steps still read only the columns they use,
+    and the planner knows the size."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,12 @@
 """Star schema, packed columns, measures, report tables, sinks."""
-import uuid
-
 from pyspark.sql import functions as F, types as T
 
 from caseloom.operators import analytics as A, features, metrics as M, ranking, report as R, splits, star
-from caseloom.plans.lineage import checkpoint_dir, cut
+from caseloom.plans.lineage import cut, new_folder
 from caseloom.sources import cases as C, sinks
 from checks import analytics as QA, evaluation as QE
 from checks.adapters import (
-    CASES, PRODUCTS, SCORED, SIGNALS, case_bucket, cases_rel, lines, raw_lines, scored, with_company_group,
+    CASES, PRODUCTS, SCORED, SIGNALS, case_bucket, cases_rel, raw_lines, scored, with_company_group,
     with_copies,
 )
 from checks.registry import pct, query, rat
@@ -33,7 +31,8 @@ enriched AS (
 
 def side_tables(spark, sf):
     """(text features, model scores) keyed by case_id."""
-    df = scored(spark, sf)
+    df = cut(scored(spark, sf).select(
+        "case_id", "text_group", "theme", "sentiment", "pred", "relief_score", "route_confidence"))
     text = df.select("case_id", "theme", "sentiment")
     split = splits.group_holdout(df, "text_group", 0.2, 42)
     bucketed = ranking.rank_bucket(split, "relief_score", 10, "case_id", case_bucket(), "relief_priority_decile", True)
@@ -44,8 +43,9 @@ def side_tables(spark, sf):
 
 
 def enriched(spark, sf):
+    """Clean cases, written once, joined with their side tables."""
     text, scores = side_tables(spark, sf)
-    df = with_company_group(with_copies(cases_rel(spark, sf))).drop("theme", "sentiment", "tone_units", "h")
+    df = cut(with_company_group(with_copies(cases_rel(spark, sf))).drop("theme", "sentiment", "tone_units", "h"))
     return star.enrich(df, text, scores, case_bucket())
 
 
@@ -118,7 +118,7 @@ SELECT case_id, strftime(date_received, '%Y-%m-%d') AS date_received, product_id
        CASE WHEN in_holdout = 1 THEN route_confidence END AS route_confidence, route_correct
 FROM enriched JOIN dp USING (product) JOIN dt USING (theme) JOIN dc USING (company)""")
 def fact(spark, sf):
-    tables = star.star_schema(enriched(spark, sf), brand_terms(spark, sf), _signals)
+    tables = star.star_schema(cut(enriched(spark, sf)), brand_terms(spark, sf), _signals)
     return tables["fact_cases"].withColumn("date_received", F.date_format("date_received", "yyyy-MM-dd"))
 
 
@@ -139,7 +139,7 @@ SELECT case_id,
   CAST({_bits([('(relief_priority_decile - 1)', 0), ('is_duplicate_text', 4), ('older_american', 5), ('servicemember', 6)])} AS INT) AS b4
 FROM enriched JOIN pp USING (product) JOIN tt USING (theme) JOIN cc USING (company_group) JOIN mm ON moy = substr(month, 6)""")
 def packed(spark, sf):
-    df = enriched(spark, sf).withColumn("month_of_year", F.substring("month", 6, 2))
+    df = cut(enriched(spark, sf)).withColumn("month_of_year", F.substring("month", 6, 2))
     return star.packed(df, _signals, "month_of_year")
 
 
@@ -215,8 +215,8 @@ def gains(spark, sf):
 
 
 @query("r4_headlines", SCORED + LANGUAGE + "," + QA.PROFILE + QE.CURVE + "," + QE.LIFT + f"""
-SELECT 'best company relief pct' AS fact, {pct('sum(relief)', 'count(*)')} AS value FROM cases WHERE company_group = 'red plate'
-UNION ALL SELECT 'worst company relief pct', {pct('sum(relief)', 'count(*)')} FROM cases WHERE company_group = 'All other companies'
+SELECT 'best company relief pct' AS fact, {pct('sum(relief)', 'count(*)')} AS value FROM cases WHERE company = 'red plate'
+UNION ALL SELECT 'worst company relief pct', {pct('sum(relief)', 'count(*)')} FROM cases WHERE company = 'hot ring'
 UNION ALL SELECT 'best theme relief rate', relief_rate FROM theme_summary WHERE theme = 'Brand#3'
 UNION ALL SELECT 'best theme gap pts', (relief_rate - expected_rate) * 100 FROM theme_summary WHERE theme = 'Brand#3'
 UNION ALL SELECT 'other theme relief rate', relief_rate FROM theme_summary WHERE theme = 'Brand#9'
@@ -227,10 +227,11 @@ UNION ALL (SELECT 'routed automatically', coverage FROM curve WHERE accuracy >=
 UNION ALL (SELECT 'accuracy when routed', accuracy FROM curve WHERE accuracy >= 0.9 ORDER BY threshold LIMIT 1)
 UNION ALL SELECT 'capture in top fifth', capture_top20 FROM lifted""")
 def headlines(spark, sf):
+    companies = A.company_benchmark(with_company_group(cases_rel(spark, sf, "p"), 100))
     return R.headlines(
-        QA.company_benchmark(spark, sf), QA.theme_profile(spark, sf), QA.signal_table(spark, sf),
+        companies, QA.theme_profile(spark, sf), QA.signal_table(spark, sf),
         QA.tone_table(spark, sf), QE.automation_curve(spark, sf), QE.model_row(spark, sf),
-        "red plate", "All other companies", "Brand#3", "Brand#9", "High tax", "stand-in", 0.9)
+        "red plate", "hot ring", "Brand#3", "Brand#9", "High tax", "stand-in", 0.9)
 
 
 @query("r5_routing_section", SCORED + QE.REPORT + QE.CURVE + QE.SHARES + """,
@@ -249,15 +250,11 @@ def routing_section(spark, sf):
 
 
 # ---- sinks: written, read back, compared -----------------------------------------------------------------------
-def folder(spark) -> str:
-    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-
-
 @query("s1_csv_source", CASES + """
 SELECT case_id, strftime(date_received, '%Y-%m-%d') AS date_received, product, sub_product, company, state, zip3, tags, timely
 FROM cases""")
 def csv_source(spark, sf):
-    path = folder(spark)
+    path = new_folder(spark)
     sinks.write_csv_gz(raw_lines(spark, sf), path)
     schema = T.StructType([
         T.StructField(f.name, T.StringType() if f.name == "complaint_id" else f.dataType) for f in C.RAW_SCHEMA])
@@ -269,7 +266,7 @@ def csv_source(spark, sf):
 @query("s4_table_round_trip", CASES + """
 SELECT case_id, month, product, relief, dup_count FROM cases""")
 def table_round_trip(spark, sf):
-    path = folder(spark)
+    path = new_folder(spark)
     sinks.write_table(with_copies(cases_rel(spark, sf, "op")).select(
         "case_id", "month", "product", "relief", "dup_count"), path, "month")
     return spark.read.schema("case_id string, month string, product string, relief int, dup_count bigint").parquet(path)
@@ -278,7 +275,7 @@ def table_round_trip(spark, sf):
 @query("s6_result_csv", CASES + f"""
 SELECT company, count(*) AS cases, {rat('sum(relief)', 'count(*)')} AS relief_rate FROM cases GROUP BY company""")
 def result_csv(spark, sf):
-    path = folder(spark)
+    path = new_folder(spark)
     result = A.measures(with_copies(cases_rel(spark, sf, "p")), ["company"]).select("company", "cases", "relief_rate")
     sinks.write_result(result, path)
     return spark.read.schema("company string, cases bigint, relief_rate double").csv(path, header=True)
@@ -288,8 +285,8 @@ def result_csv(spark, sf):
 SELECT product, company, theme, count(*) AS cases, CAST(sum(relief) AS BIGINT) AS relief FROM enriched GROUP BY ALL""")
 def star_tables(spark, sf):
     """Write the five tables, read them back, answer a question over the star."""
-    path = folder(spark)
-    sinks.write_star(star.star_schema(enriched(spark, sf), brand_terms(spark, sf), _signals), path)
+    path = new_folder(spark)
+    sinks.write_star(star.star_schema(cut(enriched(spark, sf)), brand_terms(spark, sf), _signals), path)
     t = lambda name: spark.read.parquet(f"{path}/{name}")
     joined = t("fact_cases").join(t("dim_product"), "product_id").join(t("dim_theme"), "theme_id").join(
         t("dim_company"), "company_id")
