@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caseloom import settings as S
 from caseloom.functions.numbers import mean_of_rounded, percent, percent_of, rate, ratio, whole_div
 from caseloom.operators.standardize import (
-    cell_totals, flag_cells, group_cells, standardize_cells, stratum_totals,
+    baseline_rate, expected_rate, flag_cells, group_cells, standardize_cells, stratum_totals, with_cell_totals,
 )
 
 
@@ -164,7 +164,8 @@ def theme_profile(df: DataFrame) -> DataFrame:
         F.sum("monetary_relief").alias("monetary"), F.sum("in_region").alias("region"),
         F.sum(F.round(F.col("sentiment") * 10000).cast("long")).alias("tone"),
     )
-    sized = cells.withColumn("theme_n", F.sum("n").over(Window.partitionBy("theme")))
+    sized = with_cell_totals(cells, "product").withColumns({
+        "base": baseline_rate("outside"), "theme_n": F.sum("n").over(Window.partitionBy("theme"))})
     n = F.sum("n")
     profile = sized.groupBy("theme").agg(
         n.alias("cases"),
@@ -175,15 +176,12 @@ def theme_profile(df: DataFrame) -> DataFrame:
         F.min_by("product", F.struct(-F.col("n"), F.col("product"))).alias("top_product"),
         ratio(F.max("n"), n).alias("top_product_share"),
         F.count_if(F.col("n") * 20 >= F.col("theme_n")).alias("products_spanned"),
+        expected_rate(F.col("n"), F.col("base")).alias("expected_rate"),
         F.sum("hits").alias("_hits"),
     )
-    expected = standardize_cells(
-        cells, cell_totals(cells, "product"), ["theme"], "product", "outside"
-    ).select("theme", F.col("expected").alias("expected_rate"))
     total = over_all(F.sum("cases"))
     return (
-        profile.join(expected, "theme")
-        .withColumn("share", ratio(F.col("cases"), total))
+        profile.withColumn("share", ratio(F.col("cases"), total))
         .withColumn("relief_index", F.try_divide(
             F.col("relief_rate"), ratio(over_all(F.sum("_hits")), total)))
         .drop("_hits").orderBy(F.desc("cases"), "theme")
@@ -239,11 +237,12 @@ def tone_table(df: DataFrame, buckets: str = "tone_quintile") -> DataFrame:
         F.count("*").alias("n"), F.sum("relief").cast("long").alias("hits"),
         F.sum(F.round(F.col("sentiment") * 10000).cast("long")).alias("tone"),
     )
-    rates = standardize_cells(cells, cell_totals(cells, "product"), [buckets], "product", "outside")
-    tone = cells.groupBy(buckets).agg((ratio(F.sum("tone"), F.sum("n")) / 10000.0).alias("avg_sentiment"))
-    return rates.join(tone, buckets).select(
-        buckets, F.col("n").alias("cases"), "avg_sentiment", F.col("rate").alias("relief_rate"),
-        F.col("expected").alias("expected_rate"),
+    based = with_cell_totals(cells, "product").withColumn("base", baseline_rate("outside"))
+    n = F.sum("n")
+    return based.groupBy(buckets).agg(
+        n.alias("cases"), (ratio(F.sum("tone"), n) / 10000.0).alias("avg_sentiment"),
+        ratio(F.sum("hits"), n).alias("relief_rate"),
+        expected_rate(F.col("n"), F.col("base")).alias("expected_rate"),
     )
 
 
@@ -263,7 +262,8 @@ def expected_measures(selection: DataFrame, cases: DataFrame, by: str) -> DataFr
     """Expected rate and gap in points of a selection, from the rates of all cases."""
     cells = group_cells(selection, [by], "product", "relief")
     totals = stratum_totals(cases, "product", "relief")
-    return standardize_cells(cells, totals, [by], "product", "national").select(
+    joined = cells.join(totals, F.col("product") == F.col("_stratum"))
+    return standardize_cells(joined, [by], "national").select(
         by, F.col("n").alias("cases"), F.col("rate").alias("relief_rate"),
         F.col("expected").alias("expected_rate"), (F.col("gap") * 100).alias("gap_pts"),
     )

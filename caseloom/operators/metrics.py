@@ -76,18 +76,18 @@ def automation_curve(df: DataFrame, confidence: str, correct: str, low: int = 30
         F.when((guess + 1) / F.lit(100.0) <= score, guess + 1)
         .when(guess / F.lit(100.0) > score, guess - 1).otherwise(guess)
     )
-    bins = df.groupBy(F.least(passed, F.lit(high)).alias("bin")).agg(
+    # Rows below the lowest threshold share the step before it.
+    step = F.greatest(F.least(passed, F.lit(high)), F.lit(low - 1))
+    bins = df.groupBy(step.cast("long").alias("step")).agg(
         F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("right"))
-    steps = bins.agg(F.sum("n").alias("all_n")).select(
-        F.explode(F.sequence(F.lit(low), F.lit(high))).alias("step"), "all_n")
+    steps = df.sparkSession.range(low - 1, high + 1).toDF("step")
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = steps.join(bins, F.col("step") == F.col("bin"), "left")
     n = F.coalesce(F.sum("n").over(above), F.lit(0))
-    return counted.select(
-        (F.col("step") / F.lit(100.0)).alias("threshold"),
-        ratio(n, F.col("all_n")).alias("coverage"),
+    return steps.join(bins, "step", "left").select(
+        "step", (F.col("step") / F.lit(100.0)).alias("threshold"),
+        ratio(n, F.sum("n").over(Window.partitionBy())).alias("coverage"),
         ratio(F.sum("right").over(above), n).alias("accuracy"),
-    ).orderBy("threshold")
+    ).where(F.col("step") >= low).drop("step").orderBy("threshold")
 
 
 def first_threshold(curve: DataFrame, target: float = 0.95) -> DataFrame:

@@ -7,7 +7,7 @@ outside   rows outside g; such a stratum has no expectation, the other strata ca
 fallback  rows outside g; such a stratum falls back to its overall rate
 national  all rows of the stratum, g included
 """
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.numbers import ratio
 
@@ -30,11 +30,11 @@ def stratum_totals(df: DataFrame, stratum: str, outcome: str) -> DataFrame:
     )
 
 
-def cell_totals(cells: DataFrame, stratum: str) -> DataFrame:
-    """The same from cells, when every row is in exactly one group."""
-    return cells.groupBy(F.col(stratum).alias("_stratum")).agg(
-        F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits")
-    )
+def with_cell_totals(cells: DataFrame, stratum: str) -> DataFrame:
+    """The same from cells, when every row is in exactly one group. The window runs over cells,
+    so the rows behind them are read once."""
+    over = Window.partitionBy(stratum)
+    return cells.withColumns({"all_n": F.sum("n").over(over), "all_hits": F.sum("hits").over(over)})
 
 
 def baseline_rate(baseline: str) -> Column:
@@ -52,17 +52,11 @@ def expected_rate(n: Column, base: Column) -> Column:
     return F.round(F.try_divide(F.sum(n * base), F.sum(covered).cast("double")), DIGITS)
 
 
-def standardize_cells(cells: DataFrame, totals: DataFrame, groups: list[str], stratum: str,
-                      baseline: str) -> DataFrame:
-    """(groups, n, hits, rate, expected, gap) from cells and stratum totals.
-
-    The totals have one row per stratum; the join is left to the planner, which knows their
-    size at run time."""
-    joined = cells.join(totals, F.col(stratum) == F.col("_stratum"))
+def standardize_cells(cells: DataFrame, groups: list[str], baseline: str) -> DataFrame:
+    """(groups, n, hits, rate, expected, gap) from cells that carry the totals of their stratum."""
     if baseline == "inner":
-        joined = joined.where(F.col("all_n") > F.col("n"))
-    based = joined.withColumn("base", baseline_rate(baseline))
-    out = based.groupBy(*groups).agg(
+        cells = cells.where(F.col("all_n") > F.col("n"))
+    out = cells.withColumn("base", baseline_rate(baseline)).groupBy(*groups).agg(
         F.sum("n").alias("n"), F.sum("hits").alias("hits"),
         ratio(F.sum("hits"), F.sum("n")).alias("rate"),
         expected_rate(F.col("n"), F.col("base")).alias("expected"),
@@ -73,7 +67,7 @@ def standardize_cells(cells: DataFrame, totals: DataFrame, groups: list[str], st
 def standardize(df: DataFrame, group: str, stratum: str, outcome: str, baseline: str = "outside") -> DataFrame:
     """Every group at once, in one pass over the rows."""
     cells = group_cells(df, [group], stratum, outcome)
-    return standardize_cells(cells, cell_totals(cells, stratum), [group], stratum, baseline)
+    return standardize_cells(with_cell_totals(cells, stratum), [group], baseline)
 
 
 def flag_cells(df: DataFrame, flags: list[str], stratum: str, outcome: str) -> DataFrame:

@@ -51,7 +51,7 @@ def bucket() -> Column:
 
 def clean_job(raw: DataFrame, o: Options) -> DataFrame:
     """Raw extract -> case table (Parquet). Fails on a product label without a short name."""
-    df = C.map_labels(raw, "product", "_short", S.PRODUCT_LABELS)
+    df = C.map_labels(C.spread(raw, "complaint_id"), "product", "_short", S.PRODUCT_LABELS)
     df = C.fill_defaults(df).withColumnRenamed("_short", "product")
     for step in (features.outcome_flags, features.date_features, features.segment_flags, features.geo_flags,
                  features.text_features, features.signal_flags):

@@ -35,6 +35,13 @@ def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a source with fewer splits than cores (one large file, one row group) over all cores,
+    so that what follows runs in parallel. A source with enough splits is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def unmapped_labels(df: DataFrame, label: str, mapping: dict[str, str]) -> DataFrame:
     """Labels without a short name (null included) and how many rows carry them."""
     known = F.coalesce(F.col(label).isin(list(mapping)), F.lit(False))

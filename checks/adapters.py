@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseloom import settings as S
 from caseloom.operators import copies, features
 from caseloom.operators.ranking import fold_to_top, prefix_bucket
-from caseloom.sources.cases import fill_defaults, map_labels
+from caseloom.sources.cases import fill_defaults, map_labels, spread
 
 PRODUCTS = {
     "SMALL": "Small goods", "ECONOMY": "Economy goods", "MEDIUM": "Medium goods",
@@ -127,7 +127,7 @@ def case_bucket():
 def cases_text(spark: SparkSession, sf: str) -> DataFrame:
     """Clean narrative cases from documents and labels (both keyed by doc_id)."""
     t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-    df = t("documents").join(t("labels"), "doc_id", "left").selectExpr(
+    df = spread(t("documents"), "doc_id").join(t("labels"), "doc_id", "left").selectExpr(
         "doc_id AS complaint_id", "lang AS product", "source AS company",
         "text AS consumer_complaint_narrative",
         "CASE WHEN toxic = 1 THEN 'Closed with monetary relief' WHEN quality = 1 THEN"
