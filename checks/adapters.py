@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseloom import settings as S
 from caseloom.operators import copies, features
 from caseloom.operators.ranking import fold_to_top, prefix_bucket
+from caseloom.plans.lineage import cut
 from caseloom.sources.cases import fill_defaults, map_labels, spread
 
 PRODUCTS = {
@@ -61,7 +62,7 @@ def lines(spark: SparkSession, sf: str, tables: str = "opc") -> DataFrame:
     """Raw extract from the star schema. Only the tables asked for are joined; columns that need
     others are null. nation and region have 25 and 5 rows at every scale."""
     t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-    df = t("lineitem")
+    df = spread(t("lineitem"), "l_orderkey")
     if "o" in tables or "c" in tables:
         df = df.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "p" in tables:
@@ -141,6 +142,12 @@ def cases_text(spark: SparkSession, sf: str) -> DataFrame:
     return features.text_features(features.outcome_flags(df))
 
 
+def stored_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The clean narrative table, written once: a filter on a derived column (word count, copies)
+    then reads the column instead of cleaning the text again."""
+    return cut(cases_text(spark, sf))
+
+
 # ------------------------------------------------------------------------------------
 # The same in SQL
 # ------------------------------------------------------------------------------------

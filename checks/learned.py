@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import copies, features, metrics as M, models, ranking, splits, topics, vocabulary as V
 from caseloom.plans.lineage import cut
-from checks.adapters import cases_text
+from checks.adapters import cases_text, stored_text
 from checks.analytics import TEXT_SIGNALS
 from checks.narratives import STOP
 from checks.registry import query
@@ -19,7 +19,7 @@ def topic_fit(spark, sf):
     """Fit once per session and folder: (cases, vectors of all cases, model)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fits:
-        df = cases_text(spark, sf).select("case_id", "text_group", "narrative_clean", "narrative_words")
+        df = stored_text(spark, sf).select("case_id", "text_group", "narrative_clean", "narrative_words")
         unique = copies.first_per_group(df).where("narrative_words >= 5")
         counts = V.term_counts(unique, stop=STOP)
         vocab = cut(V.vocabulary(counts, unique, 10, 0.7, 3000))

@@ -5,7 +5,7 @@ from caseloom import settings as S
 from caseloom.functions import text as X
 from caseloom.operators import copies, excerpts, phrases, tone, vocabulary as V
 from caseloom.plans.lineage import cut
-from checks.adapters import TEXTS, cases_text, with_copies
+from checks.adapters import TEXTS, cases_text, stored_text, with_copies
 from checks.registry import query
 
 STOP = sorted(set(S.DOMAIN_STOP_WORDS) | set("the and of to in is that it was for on with this as de la le que".split()))
@@ -76,7 +76,7 @@ fit_counts AS (SELECT * FROM counts SEMI JOIN uniques USING (case_id))"""
        + _vocabulary("fit_counts", "uniques") + TFIDF)
 def transform_new_text(spark, sf):
     """Vocabulary from one case per text, applied to all cases."""
-    df = cases_text(spark, sf)
+    df = stored_text(spark, sf)
     unique = copies.first_per_group(df)
     vocab = V.vocabulary(V.term_counts(unique, stop=STOP), unique, 10, 0.4, 3000)
     return V.tfidf(V.term_counts(df, stop=STOP), vocab).withColumn("weight", F.round("weight", 9))
@@ -104,7 +104,7 @@ gaps AS (
 
 
 def gaps(spark, sf):
-    return phrases.phrase_gaps(with_copies(cases_text(spark, sf)), 20, STOP)
+    return phrases.phrase_gaps(with_copies(stored_text(spark, sf)), 20, STOP)
 
 
 @query("t11_phrase_gaps", PHRASES + " SELECT * FROM gaps")
@@ -186,7 +186,7 @@ strong AS (
 
 
 def themed(spark, sf):
-    return with_copies(cases_text(spark, sf)).withColumns({
+    return with_copies(stored_text(spark, sf)).withColumns({
         "theme": F.col("product"), "theme_strength": (F.col("case_id") * 7919) % 10007 / F.lit(10007.0)})
 
 

@@ -29,24 +29,33 @@ enriched AS (
   FROM placed)"""
 
 
-def side_tables(spark, sf):
-    """(text features, model scores) keyed by case_id."""
-    df = cut(scored(spark, sf).select(
-        "case_id", "text_group", "theme", "sentiment", "pred", "relief_score", "route_confidence"))
+def side_tables(df):
+    """(text features, model scores) keyed by case_id, from written scored cases."""
     text = df.select("case_id", "theme", "sentiment")
     split = splits.group_holdout(df, "text_group", 0.2, 42)
-    bucketed = ranking.rank_bucket(split, "relief_score", 10, "case_id", case_bucket(), "relief_priority_decile", True)
+    bucketed = ranking.rank_bucket(
+        split.select("case_id", "in_holdout", "relief_score", "pred", "route_confidence"),
+        "relief_score", 10, "case_id", case_bucket(), "relief_priority_decile", True)
     held = F.col("in_holdout") == 1
     return text, bucketed.select(
         "case_id", "in_holdout", "relief_score", F.when(held, F.col("pred")).alias("route_pred"),
         F.when(held, F.col("route_confidence")).alias("route_confidence"), "relief_priority_decile")
 
 
+SCORE_COLUMNS = ("theme", "sentiment", "tone_units", "h", "score_u", "conf_u", "correct", "relief_score",
+                 "route_confidence", "pred")
+
+
 def enriched(spark, sf):
     """Clean cases, written once, joined with their side tables."""
-    text, scores = side_tables(spark, sf)
-    df = cut(with_company_group(with_copies(cases_rel(spark, sf))).drop("theme", "sentiment", "tone_units", "h"))
-    return star.enrich(df, text, scores, case_bucket())
+    base = cut(with_company_group(with_copies(scored(spark, sf, "opc"))))
+    text, scores = side_tables(base)
+    return star.enrich(base.drop(*SCORE_COLUMNS), text, scores, case_bucket())
+
+
+def with_scores(spark, sf, *columns):
+    base = cut(scored(spark, sf))
+    return base.select("case_id", *columns).join(side_tables(base)[1], "case_id", "left")
 
 
 @query("s5_side_tables", ENRICHED + """
@@ -59,7 +68,7 @@ def side_table_join(spark, sf):
 
 @query("p13_route_correct", ENRICHED + "SELECT case_id, route_pred, route_correct FROM enriched")
 def route_correct(spark, sf):
-    df = cases_rel(spark, sf, "p").select("case_id", "product").join(side_tables(spark, sf)[1], "case_id", "left")
+    df = with_scores(spark, sf, "product")
     return features.route_correct(df).select("case_id", "route_pred", "route_correct")
 
 
@@ -169,7 +178,7 @@ SELECT product, {rat('sum(score_u)', 'count(*)')} / 1e6 AS avg_relief_score,
        {rat('sum(route_correct)', 'count(route_correct)')} AS routing_accuracy
 FROM enriched GROUP BY product""")
 def model_measures(spark, sf):
-    df = cases_rel(spark, sf, "p").select("case_id", "product").join(side_tables(spark, sf)[1], "case_id", "left")
+    df = with_scores(spark, sf, "product")
     return A.model_measures(features.route_correct(df), ["product"], digits=6)
 
 
@@ -178,7 +187,7 @@ SELECT product, relief_priority_decile, CAST(sum(relief) AS BIGINT) AS relief_co
        {rat('sum(relief)', 'sum(sum(relief)) OVER (PARTITION BY product)')} AS relief_capture
 FROM enriched GROUP BY product, relief_priority_decile""")
 def capture(spark, sf):
-    df = cases_rel(spark, sf, "p").select("case_id", "product", "relief").join(side_tables(spark, sf)[1], "case_id", "left")
+    df = with_scores(spark, sf, "product", "relief")
     return A.capture(df, "relief_priority_decile", ["product"])
 
 
