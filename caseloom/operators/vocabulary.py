@@ -1,6 +1,6 @@
 """Terms, vocabulary and TF-IDF as long tables (case_id, term, ...)."""
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom import settings as S
 from caseloom.functions import text as X
@@ -11,18 +11,24 @@ def default_stop_words() -> list[str]:
     return sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | set(S.DOMAIN_STOP_WORDS))
 
 
-def term_counts(df: DataFrame, text: str = "narrative_clean", key: str = "case_id", stop=(), n: int = 2) -> DataFrame:
-    """(key, term, tf) over 1..n-grams.
+def term_counts(df: DataFrame, text: str = "narrative_clean", key: str = "case_id", stop=(), n: int = 2,
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, term, tf) over 1..n-grams.
 
     The texts are hashed by key before they are taken apart. They are several times smaller than
     their n-grams, and counting, norms and vectors per case then need no further exchange."""
-    words = df.select(key, X.tokens(F.col(text), stop).alias("_words")).repartition(key)
+    words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words")).repartition(key)
     return (
-        words.select(key, F.explode(X.ngrams(F.col("_words"), n)).alias("term"))
-        .groupBy(key, "term").agg(F.count("*").alias("tf"))
+        words.select(key, *carry, F.explode(X.ngrams(F.col("_words"), n)).alias("term"))
+        .groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
     )
 
 
+def term_stats(counts: DataFrame, *by: str) -> DataFrame:
+    """(by, term, total, df): uses of every term and cases that use it."""
+    return counts.groupBy(*by, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+
+
 def most_frequent(terms: DataFrame, size: int) -> DataFrame:
     """The `size` terms with the highest total, ties in alphabetical order.
 
@@ -38,21 +44,22 @@ def most_frequent(terms: DataFrame, size: int) -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, docs: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:
+def select_terms(stats: DataFrame, n: Column, min_df: int, max_df: float, size: int) -> DataFrame:
     """(term, idx, total, df, idf): document-frequency bounds, then the `size` most frequent.
 
-    `idx` numbers the terms alphabetically from 0. `docs` are the rows `counts` came from."""
-    n = docs.agg(F.count("*")).scalar()
-    bounded = (
-        counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n))
-    )
+    `idx` numbers the terms alphabetically from 0; `n` is the number of cases behind `stats`."""
+    bounded = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n))
     return most_frequent(bounded, size).select(
         "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "total", "df",
         (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"),
     )
 
 
+def vocabulary(counts: DataFrame, docs: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:
+    """Vocabulary of the cases `docs` that `counts` came from."""
+    return select_terms(term_stats(counts), docs.agg(F.count("*")).scalar(), min_df, max_df, size)
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame, key: str = "case_id", sublinear: bool = True) -> DataFrame:
     """(key, idx, weight), unit length per case. Fits new text as well as the text of the fit.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom import settings as S
-from caseloom.operators import metrics as M, models, topics, vocabulary as V
+from caseloom.operators import metrics as M, models, splits, topics, vocabulary as V
 from caseloom.plans.lineage import cut
 
 BLOCKS = [[f"{chr(97 + k)}word{chr(97 + i)}" for i in range(12)] for k in range(3)]
@@ -95,17 +95,28 @@ def test_rare_levels_share_a_feature_and_unseen_ones_add_nothing(spark, data):
     assert vector.size == design.n_levels + 1 + design.n_terms
 
 
+OPTIONS = {"categories": ("company", "product"), "numbers": ("flag",), "size": 100, "min_rows": 5}
+
+
+def test_fold_encoders_equal_a_fit_on_the_other_folds(data):
+    folded = cut(splits.group_folds(data, "text_group", 3, 42))
+    for fold, design in models.fold_designs(folded, 3, **OPTIONS):
+        direct = models.fit_design(folded.where(F.col("fold") != fold), **OPTIONS)
+        assert design.levels.exceptAll(direct.levels).count() == 0 == direct.levels.exceptAll(design.levels).count()
+        assert design.vocab.exceptAll(direct.vocab).count() == 0 == direct.vocab.exceptAll(design.vocab).count()
+        assert (design.n_levels, design.n_terms) == (direct.n_levels, direct.n_terms)
+
+
 def test_outcome_beats_the_base_rate_and_folds_never_leak(data, monkeypatch):
     seen = []
-    original = models.fit_design
+    original = models.fit_outcome
 
-    def spy(train, **options):
-        seen.append({r["text_group"] for r in train.select("text_group").distinct().collect()})
-        return original(train, **options)
+    def spy(design, parts, *args, **options):
+        seen.append({r["text_group"] for r in parts.join(data, "case_id").select("text_group").distinct().collect()})
+        return original(design, parts, *args, **options)
 
-    monkeypatch.setattr(models, "fit_design", spy)
-    options = {"categories": ("company", "product"), "numbers": ("flag",), "size": 100, "min_rows": 5}
-    scores = cut(models.out_of_fold(data, 3, max_iter=20, **options))
+    monkeypatch.setattr(models, "fit_outcome", spy)
+    scores = cut(models.out_of_fold(data, 3, max_iter=20, **OPTIONS))
     assert scores.count() == scores.select("case_id").distinct().count() == 300
     groups = {r["text_group"] for r in data.select("text_group").distinct().collect()}
     tests = [groups - s for s in seen]
