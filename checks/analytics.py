@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from caseloom import settings as S
 from caseloom.functions import text as X
-from caseloom.operators import analytics as A, copies, features, ranking, standardize
+from caseloom.functions.numbers import ratio
+from caseloom.operators import analytics as A, copies, features, ranking, skew, standardize, star
+from caseloom.plans.lineage import cut
 from caseloom.sources.cases import unmapped_labels
 from checks.adapters import (
     CASES, PRODUCTS, SIGNALS, TEXTS, case_bucket, cases_rel, cases_text, raw_lines, with_company_group,
@@ -463,3 +465,56 @@ def signal_union(spark, sf):
 @query("j7_distinct_pairs", CASES + "SELECT DISTINCT product, product_full FROM cases")
 def distinct_pairs(spark, sf):
     return cases_rel(spark, sf, "p").select("product", "product_full").distinct()
+
+
+@query("w2_share_of_total", CASES + f"""
+SELECT issue, count(*) AS cases, {rat('count(*)', 'sum(count(*)) OVER ()')} AS share FROM cases GROUP BY issue""")
+def share_of_total(spark, sf):
+    return A.share_and_index(cases_rel(spark, sf, "o"), "issue").drop("index")
+
+
+@query("j1_join_of_aggregates", CASES + """,
+sizes AS (SELECT company, count(*) AS n FROM cases GROUP BY company),
+places AS (SELECT company, product, row_number() OVER (PARTITION BY company ORDER BY count(*) DESC, product) AS rn
+           FROM cases GROUP BY company, product)
+SELECT sizes.company, n, product FROM sizes JOIN places ON places.company = sizes.company AND rn = 1""")
+def join_of_aggregates(spark, sf):
+    df = cases_rel(spark, sf, "p")
+    sizes = df.groupBy("company").agg(F.count("*").alias("n"))
+    return sizes.join(A.main_category(df, "company", "product").where("rn = 1"), "company").select("company", "n", "product")
+
+
+@query("j2_left_enrichment", TEXTS + "SELECT case_id, company_response, relief FROM cases")
+def left_enrichment(spark, sf):
+    return cases_text(spark, sf).select("case_id", "company_response", "relief")
+
+
+@query("j3_surrogate_keys", CASES + """,
+dp AS (SELECT product, CAST(row_number() OVER (ORDER BY product) AS INT) AS product_id FROM (SELECT DISTINCT product FROM cases)),
+dc AS (SELECT company, CAST(row_number() OVER (ORDER BY company) AS INT) AS company_id FROM (SELECT DISTINCT company FROM cases))
+SELECT case_id, product_id, company_id FROM cases JOIN dp USING (product) JOIN dc USING (company)""")
+def surrogate_keys(spark, sf):
+    df = cut(cases_rel(spark, sf, "p").select("case_id", "product", "company"))
+    keyed = df
+    for key in ("product", "company"):
+        table = cut(star.dimension(df, f"{key}_id", key))
+        keyed = skew.look_up(keyed, table, key, "cases", "case_id").drop("cases")
+    return keyed.select("case_id", "product_id", "company_id")
+
+
+@query("j4_scalar_subquery", CASES + f"""
+SELECT company, {rat('count(*)', '(SELECT count(*) FROM cases)')} AS share FROM cases GROUP BY company""")
+def scalar_subquery(spark, sf):
+    df = cases_rel(spark, sf, "p")
+    total = df.agg(F.count("*")).scalar()
+    return df.groupBy("company").agg(F.count("*").alias("n")).select("company", ratio(F.col("n"), total).alias("share"))
+
+
+@query("j5_membership", CASES + """
+SELECT company IN (SELECT company FROM top15) AS top, count(*) AS cases, CAST(sum(relief) AS BIGINT) AS relief
+FROM cases GROUP BY ALL""")
+def membership(spark, sf):
+    df = cases_rel(spark, sf, "p")
+    top = F.broadcast(ranking.top_categories(df, "company", 15).select("company"))   # 15 rows
+    parts = [df.join(top, "company", how).withColumn("top", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti")]
+    return parts[0].unionByName(parts[1]).groupBy("top").agg(F.count("*").alias("cases"), F.sum("relief").alias("relief"))
