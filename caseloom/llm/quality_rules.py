@@ -3,7 +3,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.llm.tables import let, narrow
 
-BUCKETS = 1 << 14
+# An n-gram is a token and the one after it. Its cell is one of FIRST places of the token times one of NEXT
+# places of the next, so the cells of a token add up to its own count.
+FIRST, NEXT = 1 << 12, 1 << 3
 # Documents whose mean log-ratio per n-gram lies below go.
 THRESHOLD = -0.25
 # Words are runs of anything but space and \t to \r; symbols.
@@ -38,50 +40,46 @@ def n_repeat_words(words: Column, width: int = 3) -> Column:
             (x["h"] == F.get(s, j - 1)["h"]), F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False))))
         return let(F.array_sort(F.transform(twice, lambda x: x["i"])), covered)
 
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[words[i + j] for j in range(width)]))
+    def windows(hashes: Column) -> Column:
+        def window(h: Column, i: Column) -> Column:
+            for j in range(1, width):
+                h = h.bitwiseXOR(F.shiftleft(F.get(hashes, i + j), j))
+            return h
+        return F.filter(F.transform(hashes, window), lambda h: h.isNotNull())
+
     return F.when(F.size(words) < width, F.lit(0).cast("long")).otherwise(
-        let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(repeated(h))))
+        let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(repeated(h))))
 
 
-def grams(text: str = "text", buckets: int = BUCKETS) -> Column:
-    """Buckets of the single tokens (0 to buckets - 1) and of pairs of neighbours (above) of a whole text."""
+def grams(text: str = "text") -> Column:
+    """Cells of the n-grams of a whole text, in order."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    return let(hashed, lambda h: F.concat(
-        F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
-        F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))),
-                    lambda x, i: (F.pmod(F.xxhash64(x, h[i]), F.lit(buckets)) + buckets).cast("int")),
-    ))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.transform(
+        h, lambda x, i: (x.bitwiseAND(FIRST - 1) * NEXT + F.coalesce(F.get(h, i + 1), F.lit(0).cast("long")).bitwiseAND(NEXT - 1)).cast("int")))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row (ratios): by bucket, ln of its share in the trusted rows over its share in all rows.
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """One row (ratios): by cell, ln of its share in the trusted rows over its share in all rows.
 
-    Both multinomials, single tokens and pairs apart, are counted over all rows; the raw one is scaled to
-    the tokens of the trusted one and both are smoothed by one occurrence a bucket. `trusted` holds the doc_id of trusted rows; without any, all ratios are 0."""
+    Both multinomials are counted over all rows; the raw one is scaled to the tokens of the trusted one
+    and both are smoothed by one occurrence a cell. `trusted` holds the doc_id of trusted rows; without
+    any, all ratios are 0."""
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("_own", F.lit(1))
     counts = (
         docs.select("doc_id", "text").join(narrow(ids), "doc_id", "left")
-        .select(F.explode(grams(buckets=buckets)).alias("bucket"), F.coalesce("_own", F.lit(0)).alias("own"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("own").alias("own"))
-    )
-    every = docs.sparkSession.range(2 * buckets).select(F.col("id").cast("int").alias("bucket"))
-    pair = F.col("bucket") >= buckets
-    dense = every.join(counts, "bucket", "left").fillna(0, ["raw", "own"]).agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "raw", "own"))).alias("cells"),
-        *[F.sum(F.when(of, F.col(c)).otherwise(0)).alias(f"{c}_{n}") for c in ("raw", "own") for n, of in ((1, ~pair), (2, pair))],
+        .select(F.explode(grams()).alias("cell"), F.coalesce("_own", F.lit(0)).alias("own"))
+        .groupBy("cell").agg(F.count("*").alias("raw"), F.sum("own").alias("own"))
     )
-
-    def ratio(x: Column) -> Column:
-        own, raw = [F.when(x["bucket"] < buckets, F.col(f"{n}_1")).otherwise(F.col(f"{n}_2")) for n in ("own", "raw")]
-        return F.log((x["own"] + 1) / (x["raw"] * (own / raw) + 1))
-
+    every = docs.sparkSession.range(FIRST * NEXT).select(F.col("id").cast("int").alias("cell"))
+    dense = every.join(counts, "cell", "left").fillna(0, ["raw", "own"]).agg(
+        F.array_sort(F.collect_list(F.struct("cell", "raw", "own"))).alias("cells"),
+        F.sum("raw").alias("all_raw"), F.sum("own").alias("all_own"))
     return dense.select(F.transform("cells", lambda x: F.when(
-        (x["raw"] > 0) & (F.col("own_1") > 0), ratio(x)).otherwise(F.lit(0.0))).alias("ratios"))
+        (x["raw"] > 0) & (F.col("all_own") > 0),
+        F.log((x["own"] + 1) / (x["raw"] * (F.col("all_own") / F.col("all_raw")) + 1))).otherwise(F.lit(0.0))).alias("ratios"))
 
 
-def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of every row.
 
     `score` is the mean log-ratio of the n-grams of the whole text between the trusted and the raw
@@ -89,11 +87,11 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     texts have no words, a null score, and fail the base. Repeated rows are judged alike and all stay; a
     score equal to the threshold is kept. Without trusted rows all scores are 0. Other columns are not read.
 
-    The model has 2 * `buckets` numbers at any size of the corpus. It is counted when the operator is called
+    The model has FIRST * NEXT numbers at any size of the corpus. It is counted when the operator is called
     and stands in the expression as one array literal; as a column it would be copied into every row."""
-    known = log_ratios(docs, trusted, buckets).first()["ratios"]
+    known = log_ratios(docs, trusted).first()["ratios"]
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in known)), ",").cast("array<double>")
-    score = let(grams(buckets=buckets), lambda g: F.when(F.size(g) > 0, F.aggregate(
+    score = let(grams(), lambda g: F.when(F.size(g) > 0, F.aggregate(
         g, F.lit(0.0), lambda total, b: total + F.get(ratios, b)) / F.size(g)))
     # equal sums whatever the order of rows: six digits
     return (
