@@ -2,8 +2,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import decontaminate, packing, quality_rules, sharding
-from caseloom.llm.tables import table
+from caseloom.llm import decontaminate, packing, quality_knn, quality_rules, sharding, toxicity
+from caseloom.llm.tables import held_out, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,3 +61,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(items, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op2_quality_knn")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    return judged(quality_knn.scores(docs, model), quality_knn.REJECT_BELOW)
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
+    found = judged(toxicity.passages(docs, model), 0.5, F.size("passages").cast("long").alias("n_passages"))
+    return found
+
+
+def judged(scored: DataFrame, least: float, *more) -> DataFrame:
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
