@@ -2,7 +2,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import decontaminate, near_dedup, packing, quality_knn, quality_rules, sharding, toxicity
+from caseloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_knn, quality_rules, sharding, toxicity
 from caseloom.llm.tables import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -99,3 +99,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id"""
 @query("op6_near_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"),
+                      F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
