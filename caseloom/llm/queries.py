@@ -2,7 +2,9 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_knn, quality_rules, sharding, toxicity
+from caseloom.llm import (
+    decontaminate, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding, toxicity, url_templates,
+)
 from caseloom.llm.tables import held_out, table
 
 QUERIES, ORACLES = {}, {}
@@ -106,3 +108,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"),
                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
+# The rules of the query.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op4_url_templates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal(table(spark, sf_dir, "documents"))
+    part = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", *[F.size(part([k])).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]],
+        F.sha2(told(part(pii.KINDS[:4])), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
