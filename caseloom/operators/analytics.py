@@ -110,6 +110,7 @@ def segments(df: DataFrame, min_dup: int = 50) -> DataFrame:
     """Overlapping segments, all counted in one scan."""
     older, service = F.col("older_american") == 1, F.col("servicemember") == 1
     copied = F.col("is_duplicate_text") == 1
+    # The names of the segments.
     tests = {
         "Older American": older,
         "Servicemember": service,

@@ -69,7 +69,7 @@ def automation_curve(df: DataFrame, confidence: str, correct: str, low: int = 30
     """Coverage and accuracy when only cases at or above a threshold are routed.
 
     Thresholds are `low`..`high` hundredths. Each row counts once, at the highest threshold it
-    passes; running sums over those few rows give all thresholds."""
+    passes; running sums over those few rows give all thresholds. A row without a confidence passes none."""
     score = F.col(confidence)
     guess = F.floor(score * 100)
     passed = (
@@ -77,7 +77,7 @@ def automation_curve(df: DataFrame, confidence: str, correct: str, low: int = 30
         .when(guess / F.lit(100.0) > score, guess - 1).otherwise(guess)
     )
     # Rows below the lowest threshold share the step before it.
-    step = F.greatest(F.least(passed, F.lit(high)), F.lit(low - 1))
+    step = F.when(score.isNull(), F.lit(low - 1)).otherwise(F.greatest(F.least(passed, F.lit(high)), F.lit(low - 1)))
     bins = df.groupBy(step.cast("long").alias("step")).agg(
         F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("right"))
     steps = df.sparkSession.range(low - 1, high + 1).toDF("step")

@@ -80,6 +80,7 @@ def greedy_pick(phrases: DataFrame, n: int = 12, most: bool = True, batch: int =
 
 def phrase_table(phrases: DataFrame, n: int = 12) -> DataFrame:
     """The `n` phrases with the largest gaps in both directions."""
+    # The names of the directions.
     up = greedy_pick(phrases, n, most=True).withColumn("direction", F.lit("more relief than expected"))
     down = greedy_pick(phrases, n, most=False).withColumn("direction", F.lit("less relief than expected"))
     return up.unionByName(down)

@@ -62,11 +62,51 @@ def quantile_bucket(rank: Column, n: Column, k: int) -> Column:
     return F.coalesce(F.greatest(F.lit(1), place), F.lit(1)).cast("int")
 
 
+BINS = 4096
+
+
+def last_rows(df: DataFrame, score: str, k: int, key: str, bucket: Column, descending: bool) -> list[tuple]:
+    """(score, key) of the last row of buckets 1..k-1 in the order of (score, key); null scores have no place.
+
+    Rows are counted by bins of the score's range, then by (score, bucket of the key) in the bins that hold a
+    cut, then numbered in the cells that hold one. The driver sees BINS counts and k - 1 rows."""
+    rows = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(key).alias("key"), bucket.alias("b"))
+    low, high, n = rows.agg(F.min(F.col("s").cast("double")), F.max(F.col("s").cast("double")), F.count("*")).first()
+    if not n:
+        return []
+    width = (high - low) / BINS or 1.0
+    place = F.least(F.floor((F.col("s").cast("double") - low) / width), F.lit(BINS - 1)).cast("int")
+    rows = rows.withColumn("bin", (BINS - 1 - place) if descending else place)
+    counts = sorted(rows.groupBy("bin").count().collect())
+    wanted, before = [], 0
+    ends = [j * (n - 1) // k + 1 for j in range(1, k)]
+    for at, count in counts:
+        wanted += [(j, at, end - before) for j, end in enumerate(ends) if before < end <= before + count]
+        before += count
+    cuts = df.sparkSession.createDataFrame(wanted, "cut int, bin int, place long")
+    order = [F.desc("s") if descending else F.asc("s"), F.asc("b")]
+    upto = Window.partitionBy("bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.where(F.col("bin").isin(sorted({w[1] for w in wanted})))
+    cells = held.groupBy("bin", "s", "b").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    found = cells.join(F.broadcast(cuts), "bin").where("place <= upto AND place > upto - n").select(
+        "cut", F.col("s").alias("cut_s"), F.col("b").alias("cut_b"), (F.col("place") - F.col("upto") + F.col("n")).alias("inside"))
+    numbered = held.join(F.broadcast(found), (F.col("s") == F.col("cut_s")) & (F.col("b") == F.col("cut_b"))).withColumn(
+        "at", F.row_number().over(Window.partitionBy("cut").orderBy("key")))
+    return [tuple(r) for r in numbered.where("at = inside").orderBy("cut").select("s", "key").collect()]
+
+
 def rank_bucket(df: DataFrame, score: str, k: int, key: str, bucket: Column, name: str,
                 descending: bool = False) -> DataFrame:
-    """Add the quantile bucket `name` (1..k) of the global rank of `score`."""
-    ranked = global_rank(df, score, key, bucket, descending)
-    return ranked.withColumn(name, quantile_bucket(F.col("rank"), F.col("ranked"), k)).drop("rank", "ranked")
+    """Add the quantile bucket `name` (1..k) of the global rank of `score`, ties by `key`.
+
+    The cuts are found when this is called; then each row is compared with k - 1 constants, so no row moves.
+    Rows without a score stay, with a null bucket, and don't count."""
+    s, own = F.col(score), F.col(key)
+    place = F.lit(1)
+    for at, last in last_rows(df, score, k, key, bucket, descending):
+        beyond = s < F.lit(at) if descending else s > F.lit(at)
+        place = place + (beyond | ((s == F.lit(at)) & (own > F.lit(last)))).cast("int")
+    return df.withColumn(name, F.when(s.isNotNull(), place))
 
 
 def top_categories(df: DataFrame, column: str, n: int) -> DataFrame:

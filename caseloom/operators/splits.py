@@ -9,7 +9,8 @@ PREFIX = 4   # hex digits: 65,536 even counting cells
 
 
 def seeded_hash(group: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")))
+    """Rows without a group are one group, whose hash no other group has."""
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), F.md5(F.lit(f"{seed}")))
 
 
 def cut_hashes(df: DataFrame, group: str, seed: int, places: Column) -> Column:

@@ -96,7 +96,8 @@ def text_job(cases: DataFrame, lexicon: DataFrame, o: Options) -> tuple[DataFram
     vocab = cut(V.vocabulary(counts, unique, o.topic_min_df, o.topic_max_df, o.topic_terms))
     model = topics.fit_topics(V.case_vectors(V.tfidf(counts, vocab)), vocab, o.seeds, o.topic_passes)
     for row in model.drift().where("drifted").collect():     # one row per topic
-        print(f"WARNING: topic {row['topic_id']} ({row['theme']}) kept {row['kept']} of {row['anchors']} anchor terms")
+        print(f"Topic {row['topic_id']} ended away from its theme, {row['theme']}: its strongest terms hold "
+              f"{row['kept']} of the {row['anchors']} it was started from")
 
     everything = V.case_vectors(V.tfidf(V.term_counts(cases, stop=stop), vocab))
     themes = model.assign(cases, everything)
@@ -155,6 +156,7 @@ def export_job(cases: DataFrame, text: DataFrame, scores: DataFrame, results: di
     full = cut(star.enrich(cases, text, scores, bucket()))
     sinks.write_star(star.star_schema(full, results["topic_terms"]), f"{o.out}/star")
     sinks.write_table(star.packed(full), f"{o.out}/packed")
+    sinks.write_table(star.dictionaries(full), f"{o.out}/packed_values")
     dims = ["product", "geo", "theme", "tone_quintile", "company_group", "month", "in_holdout",
             "relief_priority_decile", "is_duplicate_text", "older_american", "servicemember", *S.SIGNAL_PATTERNS]
     sinks.write_table(A.case_cube(features.geo_code(full), dims), f"{o.out}/cube")

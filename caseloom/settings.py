@@ -50,19 +50,19 @@ SEGMENT_TAGS = {"older_american": "Older American", "servicemember": "Servicemem
 TREND_PRODUCT = "Credit reporting"
 
 # Domain stop words, added to a general English list --------------------
-DOMAIN_STOP_WORDS = """
-dollaramount did does don just like told called said got asked
-im ive didnt dont wa would also could still get one will
-time received sent back even never day days
-wells fargo wf chase jpmorgan america boa capital citi citibank
-synchrony navient experian equifax transunion trans union amex
-american express discover paypal ocwen nationstar cooper santander
-ally pheaa fedloan sallie mae barclays comenity sun trust suntrust
-usaa td pnc regions huntington portfolio recovery midland encore
-convergent erc ic lvnv cavalry transworld coinbase venmo cash app
-square navy federal loancare caliber quicken rocket shellpoint
-carrington seterus ditech bayview selene penfed alliance
-""".split()
+DOMAIN_STOP_WORDS = [
+    "dollaramount", "did", "does", "don", "just", "like", "told", "called", "said", "got", "asked",
+    "im", "ive", "didnt", "dont", "wa", "would", "also", "could", "still", "get", "one", "will",
+    "time", "received", "sent", "back", "even", "never", "day", "days",
+    "wells", "fargo", "wf", "chase", "jpmorgan", "america", "boa", "capital", "citi", "citibank",
+    "synchrony", "navient", "experian", "equifax", "transunion", "trans", "union", "amex",
+    "american", "express", "discover", "paypal", "ocwen", "nationstar", "cooper", "santander",
+    "ally", "pheaa", "fedloan", "sallie", "mae", "barclays", "comenity", "sun", "trust", "suntrust",
+    "usaa", "td", "pnc", "regions", "huntington", "portfolio", "recovery", "midland", "encore",
+    "convergent", "erc", "ic", "lvnv", "cavalry", "transworld", "coinbase", "venmo", "cash", "app",
+    "square", "navy", "federal", "loancare", "caliber", "quicken", "rocket", "shellpoint",
+    "carrington", "seterus", "ditech", "bayview", "selene", "penfed", "alliance",
+]
 
 # Words too vague to stand alone in the phrase table ----------------------
 VAGUE_WORDS = (

@@ -104,7 +104,7 @@ def signal_flags(spark, sf):
     return features.signal_flags(cases_text(spark, sf), TEXT_SIGNALS).select("case_id", *TEXT_SIGNALS)
 
 
-@query("p8_reference_signals", TEXTS + r"""
+@query("p8_default_signals", TEXTS + r"""
 SELECT case_id,
   CAST(regexp_matches(lower(narrative), '\b(?:attorney|lawyer|legal counsel|law firm)s?\b') AS INT) AS mentions_attorney,
   CAST(regexp_matches(lower(narrative), '\b(?:sue|suing|lawsuit|litigation|small claims|court)\b') AS INT) AS mentions_legal_action,
@@ -205,17 +205,16 @@ def product_rates(spark, sf):
 
 
 @query("a3_company_benchmark", CASES + f""",
-by_company AS (
-  SELECT company_group AS company, count(*) AS cases, sum(relief) AS r, sum(monetary_relief) AS m, sum(timely) AS t
-  FROM cases GROUP BY company_group),
-main_product AS (
-  SELECT company_group, product, row_number() OVER (
-         PARTITION BY company_group ORDER BY count(*) DESC, product) AS rn
-  FROM cases GROUP BY company_group, product)
-SELECT b.company, b.cases, {pct('b.cases', '(SELECT count(*) FROM cases)')} AS share_pct,
-       {pct('b.r', 'b.cases')} AS relief_rate_pct, {pct('b.m', 'b.cases')} AS monetary_relief_pct,
-       {pct('b.t', 'b.cases')} AS timely_pct, p.product AS main_product
-FROM by_company b JOIN main_product p ON p.company_group = b.company AND p.rn = 1""")
+cells AS (SELECT company_group, product, count(*) AS n, CAST(sum(relief) AS BIGINT) AS paid,
+                 CAST(sum(monetary_relief) AS BIGINT) AS money, CAST(sum(timely) AS BIGINT) AS prompt
+          FROM cases GROUP BY ALL)
+SELECT company_group AS company, CAST(sum(n) AS BIGINT) AS cases,
+       {pct('sum(n)', 'CAST(sum(sum(n)) OVER () AS BIGINT)')} AS share_pct,
+       {pct('sum(paid)', 'CAST(sum(n) AS BIGINT)')} AS relief_rate_pct,
+       {pct('sum(money)', 'CAST(sum(n) AS BIGINT)')} AS monetary_relief_pct,
+       {pct('sum(prompt)', 'CAST(sum(n) AS BIGINT)')} AS timely_pct,
+       first(product ORDER BY n DESC, product) AS main_product
+FROM cells GROUP BY company_group""")
 def company_benchmark(spark, sf):
     return A.company_benchmark(with_company_group(cases_rel(spark, sf, "p")))
 
@@ -228,25 +227,22 @@ def hotspots(spark, sf):
     return A.hotspots(cases_rel(spark, sf, "op"), 2000)
 
 
-_signals = " UNION ALL ".join(
-    f"SELECT case_id, product, relief, '{label}' AS signal, {flag} AS flag FROM cases"
+# By signal and product: cases and outcomes with it (n1, r1) and without (n0, r0). A product in which every case
+# has the signal tells nothing about its absence.
+SIGNAL_CELLS = " UNION ALL ".join(
+    f"""SELECT '{label}' AS signal, product, sum({flag}) AS n1, sum(1 - {flag}) AS n0, sum(relief * {flag}) AS r1,
+       sum(relief * (1 - {flag})) AS r0 FROM cases GROUP BY product HAVING min({flag}) = 0"""
     for flag, label in SIGNALS.items())
 
 
 @query("a5_signal_table", CASES + f""",
-signals AS ({_signals}),
-baseline AS (
-  SELECT signal, product, CAST(sum(relief) AS DOUBLE) / count(*) AS rate_without
-  FROM signals WHERE flag = 0 GROUP BY signal, product),
-sums AS (
-  SELECT s.signal, sum(flag) AS n1, count(*) AS n, sum(flag * relief) AS r1, sum((1 - flag) * relief) AS r0,
-         sum(flag * rate_without) / sum(flag) AS expected
-  FROM signals s JOIN baseline b ON b.signal = s.signal AND b.product = s.product GROUP BY s.signal)
-SELECT signal, CAST(n1 AS BIGINT) AS cases_with_signal, {pct('n1', 'n')} AS share_pct,
-       {pct('r1', 'n1')} AS relief_with_pct, {pct('r0', '(n - n1)')} AS relief_without_pct,
-       round(100 * expected, 1) AS expected_pct,
-       round(100 * (CAST(r1 AS DOUBLE) / n1 - expected), 1) + 0e0 AS mix_adjusted_gap_pts
-FROM sums""")
+t AS (SELECT signal, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n0) AS BIGINT) AS n0, CAST(sum(r1) AS BIGINT) AS r1,
+             CAST(sum(r0) AS BIGINT) AS r0, sum(n1 * CAST(r0 AS DOUBLE) / n0) AS mixed
+      FROM ({SIGNAL_CELLS}) GROUP BY signal)
+SELECT signal, n1 AS cases_with_signal, {pct('n1', '(n1 + n0)')} AS share_pct,
+       {pct('r1', 'n1')} AS relief_with_pct, {pct('r0', 'n0')} AS relief_without_pct,
+       round(100 * mixed / n1, 1) AS expected_pct, round(100 * (r1 - mixed) / n1, 1) + 0e0 AS mix_adjusted_gap_pts
+FROM t""")
 def signal_table(spark, sf):
     return A.signal_table(cases_rel(spark, sf, "p"), SIGNALS)
 

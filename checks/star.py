@@ -140,16 +140,15 @@ pp AS (SELECT product, row_number() OVER (ORDER BY count(*) DESC, product) - 1 A
 tt AS (SELECT theme, row_number() OVER (ORDER BY count(*) DESC, theme) - 1 AS t FROM enriched GROUP BY theme),
 cc AS (SELECT company_group, row_number() OVER (ORDER BY company_group = 'All other companies', count(*) DESC, company_group) - 1 AS c
        FROM enriched GROUP BY company_group),
-mm AS (SELECT substr(month, 6) AS moy, row_number() OVER (ORDER BY substr(month, 6)) - 1 AS m FROM enriched GROUP BY substr(month, 6))
+mm AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS m FROM enriched GROUP BY month)
 SELECT case_id,
   CAST({_bits([('p', 0), ('(CASE WHEN in_metro = 1 THEN 2 WHEN in_region = 1 THEN 1 ELSE 0 END)', 4), ('relief', 6), ('monetary_relief', 7)])} AS INT) AS b0,
   CAST({_bits([('t', 0), ('tone_quintile', 5)])} AS INT) AS b1, CAST({_bits([('c', 0), ('m', 4)])} AS INT) AS b2,
   CAST({_bits([*[(s, i) for i, s in enumerate(_signals)], ('timely', 6), ('in_holdout', 7)])} AS INT) AS b3,
   CAST({_bits([('(relief_priority_decile - 1)', 0), ('is_duplicate_text', 4), ('older_american', 5), ('servicemember', 6)])} AS INT) AS b4
-FROM enriched JOIN pp USING (product) JOIN tt USING (theme) JOIN cc USING (company_group) JOIN mm ON moy = substr(month, 6)""")
+FROM enriched JOIN pp USING (product) JOIN tt USING (theme) JOIN cc USING (company_group) JOIN mm USING (month)""")
 def packed(spark, sf):
-    df = cut(enriched(spark, sf)).withColumn("month_of_year", F.substring("month", 6, 2))
-    return star.packed(df, _signals, "month_of_year")
+    return star.packed(cut(enriched(spark, sf)), _signals)
 
 
 # ---- measures -------------------------------------------------------------------------------------------
@@ -199,14 +198,10 @@ def theme_gaps(spark, sf):
 
 
 LANGUAGE = QA.QUINTILES + QA.TONE + f""",
-signal_rows AS ({QA._signals}),
-baseline AS (SELECT signal, product, CAST(sum(relief) AS DOUBLE) / count(*) AS rate_without
-             FROM signal_rows WHERE flag = 0 GROUP BY signal, product),
 signal_gaps AS (
-  SELECT s.signal, round(100 * (CAST(sum(flag * relief) AS DOUBLE) / sum(flag)
-         - sum(flag * rate_without) / sum(flag)), 1) + 0e0 AS mix_adjusted_gap_pts,
-         CAST(sum(flag) AS BIGINT) AS cases_with_signal
-  FROM signal_rows s JOIN baseline b ON b.signal = s.signal AND b.product = s.product GROUP BY s.signal)"""
+  SELECT signal, round(100 * (sum(r1) - sum(n1 * CAST(r0 AS DOUBLE) / n0)) / sum(n1), 1) + 0e0 AS mix_adjusted_gap_pts,
+         CAST(sum(n1) AS BIGINT) AS cases_with_signal
+  FROM ({QA.SIGNAL_CELLS}) GROUP BY signal)"""
 
 
 @query("r2_language_gaps", CASES + LANGUAGE + """

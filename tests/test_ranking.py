@@ -106,3 +106,45 @@ def test_folds_are_even_in_groups(spark, k):
 def test_more_folds_than_groups(spark):
     out = splits.group_folds(spark.createDataFrame([(1, "a"), (2, "b")], "case_id long, g string"), "g", 5, 1)
     assert out.select("fold").distinct().count() == 2
+
+
+def test_rows_without_a_score_stay_and_do_not_count(spark):
+    rows = [(i, None if i % 3 == 0 else i % 7) for i in range(100)] + [(200 + i, 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "case_id long, score int")
+    for descending in (False, True):
+        got = {r.case_id: r.b for r in K.rank_bucket(df, "score", 10, "case_id", K.id_bucket("case_id", 8), "b", descending).collect()}
+        ranked = sorted((i for i, s in rows if s is not None), key=lambda i: ((-1) ** descending * dict(rows)[i], i))
+        n = len(ranked)
+        want = {i: max(1, -(-(at * 10) // (n - 1))) for at, i in enumerate(ranked)}
+        assert got == {i: want.get(i) for i, _ in rows}
+    empty = df.where("score IS NULL")
+    assert {r.b for r in K.rank_bucket(empty, "score", 10, "case_id", K.id_bucket("case_id", 8), "b").collect()} == {None}
+
+
+def test_cases_without_a_confidence_pass_no_threshold(spark):
+    from caseloom.operators.metrics import automation_curve
+
+    df = spark.createDataFrame([(None, 1), (None, 1), (0.995, 1), (0.5, 0)], "confidence double, correct int")
+    curve = {round(r.threshold, 2): (r.coverage, r.accuracy) for r in automation_curve(df, "confidence", "correct").collect()}
+    assert curve[0.99] == (0.25, 1.0) and curve[0.3] == (0.5, 0.5)
+
+
+def test_rows_without_a_group_are_one_group(spark):
+    from caseloom.operators.splits import group_folds, group_holdout
+
+    df = spark.createDataFrame([(None,), (None,), ("a",), ("b",), ("b",)], "g string")
+    assert all(group_holdout(df, "g", 0.3, seed).groupBy("in_holdout").count().count() == 2 for seed in range(4))
+    folds = group_folds(df, "g", 3, 1).distinct().collect()
+    assert sorted(r.fold for r in folds) == [0, 1, 2]
+
+
+def test_packed_columns_hold_more_places_than_four_bits(spark):
+    from caseloom.operators import star
+
+    rows = [(i, f"p{i % 20}", f"t{i % 3}", "c", f"2020-{i % 40:02}", 0, 0, 1, 0, 1, 0, 1, 0, 2, 1, 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "case_id int, product string, theme string, company_group string, month string, in_metro int, in_region int, relief int, "
+                               "monetary_relief int, timely int, in_holdout int, is_duplicate_text int, older_american int, tone_quintile int, relief_priority_decile int, servicemember int")
+    names = {(r.name, r.place): r.value for r in star.dictionaries(df).collect()}
+    for r in star.packed(df, ()).collect():
+        assert names["product", r.b0 & 31] == f"p{r.case_id % 20}" and r.b0 >> 7 & 1 == 1
+        assert names["month", r.b2 >> 4] == f"2020-{r.case_id % 40:02}" and names["theme", r.b1 & 31] == f"t{r.case_id % 3}"
