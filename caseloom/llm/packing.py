@@ -9,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 END = 1
+# Texts encoded together.
+TOGETHER = 256
 # str.split() parts at these, the tokenizer doesn't
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -27,35 +29,39 @@ class Limits:
 
 class Tokens:
     """Ids of whole texts. The tokenizer drops white space and joins nothing across it, so a word is
-    encoded once and looked up after that; `words` of them are remembered at most."""
+    encoded once and looked up after that; `words` of them are remembered at most, by all tasks that a
+    Python worker runs. Words not yet known are encoded together."""
 
-    def __init__(self, path: str, words: int = 300_000, longest: int = 64):
+    shared: dict[str, "Tokens"] = {}
+
+    def __init__(self, path: str, words: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.longest = Tokenizer.from_file(path), words, longest
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> "Tokens":
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
 
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str) -> np.ndarray:
-        if _SEPARATORS.search(text):
-            return self.plain(text)
-        parts = text.split()
-        if not parts:
-            return np.zeros(0, dtype="<u4")
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if len(self.known) > self.words:
+            self.known.clear()
         known = self.known
-        if len(known) > self.words:
-            known.clear()
-        out = []
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self.plain(part)
-                if len(part) <= self.longest:
-                    known[part] = ids
-            out.append(ids)
-        return np.concatenate(out)
+        parts = [[t] if _SEPARATORS.search(t) else t.split() for t in texts]
+        new = list({w for own in parts for w in own if w not in known})
+        known.update(zip(new, self.encoded(new)))
+        out = [b"".join([known[w] for w in own]) for own in parts]
+        for w in new:
+            if len(w) > self.longest:
+                del known[w]
+        return out
 
 
 class Packer:
@@ -153,16 +159,15 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), prompt: str
     read = docs.select("doc_id", F.col(prompt).alias("prompt") if prompt else F.lit("").alias("prompt"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, packer = Tokens(tokenizer), Packer(limits, TaskContext.get().partitionId() << 40)
+        tokens, packer = Tokens.of(tokenizer), Packer(limits, TaskContext.get().partitionId() << 40)
+        end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            out = []
-            for key, before, text in zip(batch["doc_id"], batch["prompt"], batch["text"]):
-                quiet = tokens.ids(before or "")
-                out.extend(packer.add(key, np.concatenate([quiet, tokens.ids(text or ""), np.array([END], dtype="<u4")]), len(quiet)))
-                if len(out) >= 2000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            yield pd.DataFrame(out, columns=names)
+            for start in range(0, len(batch), TOGETHER):
+                part, out = batch.iloc[start:start + TOGETHER], []
+                before, texts = ([t or "" for t in part[c]] for c in ("prompt", "text"))
+                for key, quiet, own in zip(part["doc_id"], tokens.ids(before), tokens.ids(texts)):
+                    out.extend(packer.add(key, np.frombuffer(quiet + own + end, dtype="<u4"), len(quiet) // 4))
+                yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(list(packer.rest()), columns=names)
 
     return read.mapInPandas(run, schema)
