@@ -1,4 +1,5 @@
 """Packing of examples into sequences: vector bin packing by a dot-product heuristic."""
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ class Tokens:
     shared: dict[str, "Tokens"] = {}
 
     def __init__(self, path: str, words: int = 1_000_000, longest: int = 64):
+        # Spark runs a task on each core, so threads of the tokenizer's own would only wait for one another
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.longest = Tokenizer.from_file(path), words, longest
