@@ -106,7 +106,7 @@ def bits(words):
     out = []
     for seed in (42, second):
         hashes = [xxhash.xxh64_intdigest(w.encode(), seed=seed) for w in words]
-        out += [sum(h >> b & 1 for h in hashes) > len(words) // 2 for b in range(56)]
+        out += [sum(h >> b & 1 for h in hashes) > len(words) // 2 for b in (*range(28), *range(32, 60))]
     return out
 
 
