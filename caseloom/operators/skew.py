@@ -12,8 +12,8 @@ def attach_by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spr
 
     `weight` is the number of rows that carry the key. Heavy keys are answered by a broadcast of
     `heavy_share` rows at most. The rest is a shuffle join in which rows already answered are
-    spread by a hash of `spread` (any unique column), so no task gets a whole heavy key. Nothing
-    is dropped: every row leaves with the value of its key."""
+    spread by a hash of `spread` (any unique column), so no task gets a whole heavy key; so are rows
+    without a key, which match nothing. Nothing is dropped: every row leaves with the value of its key."""
     values = [c for c in lookup.columns if c != key]
     total = lookup.agg(F.sum(weight)).scalar()
     sized = lookup.withColumn("_heavy", F.col(weight) * heavy_share >= total)
@@ -27,7 +27,7 @@ def attach_by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spr
     )
     answered = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left").withColumn(
         "_salt",
-        F.when(F.col("_heavy_key").isNull(), 0)
+        F.when(F.col("_heavy_key").isNull() & F.col(key).isNotNull(), 0)
         .otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)) + 1).cast("int"),
     )
     joined = answered.join(

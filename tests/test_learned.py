@@ -123,3 +123,11 @@ def test_outcome_beats_the_base_rate_and_folds_never_leak(data, monkeypatch):
     assert len(seen) == 3 and set.union(*tests) == groups and sum(map(len, tests)) == len(groups)
     auc = M.roc_auc(scores.join(data, "case_id"), "relief", "relief_score").first()["roc_auc"]
     assert auc > 0.65
+
+
+def test_a_null_category_is_a_level(spark):
+    rows = [(i, None if i % 2 else "a", "word text", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "case_id long, product string, narrative_clean string, flag int")
+    design = models.fit_design(df, ("product",), ("flag",), 10, min_df=1, max_df=1.0, min_rows=1)
+    fields = {r["case_id"]: r["fields"] for r in design.parts(df).collect()}
+    assert all(len(x) == 1 for x in fields.values()) and fields[0] != fields[1] == fields[3]

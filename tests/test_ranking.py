@@ -58,8 +58,9 @@ def test_heavy_and_light_keys_get_the_same_answer(spark):
     assert plain.select("case_id", "key", "n").exceptAll(want).count() == 0
 
 
-def test_rows_of_a_heavy_key_are_spread(spark):
-    rows = [(i, "hot") for i in range(2000)] + [(9000 + i, f"k{i}") for i in range(50)]
+@pytest.mark.parametrize("hot", ["hot", None])
+def test_rows_of_a_heavy_key_are_spread(spark, hot):
+    rows = [(i, hot) for i in range(2000)] + [(9000 + i, f"k{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "case_id long, key string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
