@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.tables import narrow, written
+from caseloom.llm.tables import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns, written so that none walks a run of characters twice.
@@ -124,10 +124,9 @@ def revealing(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
     together = written(together)
     if together.isEmpty():
         return together.select("entity", "term")
-    terms = together.select("term").distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
-    per_term = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").where("text IS NOT NULL").select(
-        F.explode(words).alias("term"), "doc_id", "row").join(narrow(terms), "term").groupBy("term").agg(F.count("*").alias("docs"))
+    per_term = docs.where("text IS NOT NULL").select(
+        F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))   # counted in the tasks before any exchange
     # IC(entity | term) <= bits
     share = F.least(F.col("both") / F.col("docs"), F.lit(1.0))
     return written(together.join(per_term, "term").where(-F.log2(share) <= settings.bits).select("entity", "term"))
