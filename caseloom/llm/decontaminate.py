@@ -97,17 +97,8 @@ def _runs(places: Column) -> Column:
     return let(places, runs)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every row: spans are the [start, end) runs of word places inside
-    an occurrence of an item's window; items are the sorted ids of the items with a window there.
-
-    An item of fewer than `width` words is one window; null items and items without words have none.
-    Null and empty texts have no words and no hits. Repeated rows are judged alike and all stay; items
-    with the same window are all named. An empty table gives no rows, an empty benchmark no hits.
-    Other columns are not read.
-
-    The items are sent to every executor, `block_chars` characters at most at a time. A larger
-    benchmark is scanned for block by block and the hits of a row are put together."""
+def _row_hits(docs: DataFrame, benchmark: DataFrame, width: int, block_chars: int) -> DataFrame:
+    """`hits`, and `_row`, xxhash64(doc_id, text)."""
     kinds = {"id": docs.schema["doc_id"].dataType.simpleString(), "item": benchmark.schema["item_id"].dataType.simpleString()}
     schema = "doc_id {id}, _row bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<{item}>".format(**kinds)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
@@ -127,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars
 
         parts.append(rows.mapInPandas(scan, schema))
     if len(parts) == 1:
-        return parts[0].drop("_row")
+        return parts[0]
     whole = parts[0].withColumn("_copies", F.lit(1))
     for part in parts[1:]:
         whole = whole.unionByName(part.withColumn("_copies", F.lit(0)))
@@ -139,7 +130,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     return merged.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(
-        "doc_id", "n_words", _runs(F.col("_at")).alias("spans"), "items")
+        "doc_id", "_row", "n_words", _runs(F.col("_at")).alias("spans"), "items")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every row: spans are the [start, end) runs of word places inside
+    an occurrence of an item's window; items are the sorted ids of the items with a window there.
+
+    An item of fewer than `width` words is one window; null items and items without words have none.
+    Null and empty texts have no words and no hits. Repeated rows are judged alike and all stay; items
+    with the same window are all named. An empty table gives no rows, an empty benchmark no hits.
+    Other columns are not read.
+
+    The items are sent to every executor, `block_chars` characters at most at a time. A larger
+    benchmark is scanned for block by block and the hits of a row are put together."""
+    return _row_hits(docs, benchmark, width, block_chars).drop("_row")
 
 
 def n_hit() -> Column:
@@ -148,7 +153,8 @@ def n_hit() -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no window of an item. Rows with a null id are
-    judged by a join on ids like the others, so they stay."""
-    bad = hits(docs, benchmark, width).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of `docs`, all columns, whose text holds no window of an item. Rows are judged by id and text, so rows
+    that share an id, and rows without one, get the verdict of their own text."""
+    bad = _row_hits(docs, benchmark, width, BLOCK_CHARS).where(F.size("spans") > 0).select(
+        F.col("doc_id").alias("_doc"), F.col("_row").alias("_bad")).distinct()
+    return docs.join(bad, (F.xxhash64("doc_id", "text") == F.col("_bad")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")

@@ -64,9 +64,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, cls, sig, s0, s1) of every row: size of the set, digest that equal sets share, signature as
-    big-endian places, and one bit of each place. Rows without words have n 0 and nulls."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, cls binary, sig binary, s0 bigint, s1 bigint"
+    """(doc_id, row, n, cls, sig, s0, s1) of every row: xxhash64(doc_id, text), size of the set, digest that equal sets
+    share, signature as big-endian places, and one bit of each place. Rows without words have n 0 and nulls."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, n bigint, cls binary, sig binary, s0 bigint, s1 bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(width)
@@ -84,9 +84,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n", "cls", "sig", "s0", "s1"])
             out["s0"], out["s1"] = out["s0"].astype("Int64"), out["s1"].astype("Int64")
             out.insert(0, "doc_id", batch["doc_id"].values)
+            out.insert(1, "row", batch["row"].values)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(run, schema)
 
 
 def _alike(settings: Settings, a: str = "", b: str = "o_") -> Column:
@@ -151,22 +152,22 @@ def _found(pairs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, homes: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough. `homes` is (cls, doc_id, text_key) of one row a class."""
+    """The pairs (a, b) whose whole shingle sets are similar enough. `homes` is (cls, row) of one row a class."""
     pairs = written(pairs.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct())
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = homes.join(needed, "cls", "left_semi").select("doc_id", "cls")
+    wanted = homes.join(needed, "cls", "left_semi").select("row", "cls")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(settings.width)
         for batch in batches:
             own = [shingles(t) for t in batch["text"]]
             cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
-            # a repeated id can have other texts: only the row of this class counts
+            # digests of rows could collide: only a text of this class counts
             keep = [c == w for c, w in zip(cls, batch["cls"])]
             yield pd.DataFrame({"cls": cls, "own": [s.tobytes() for s in own]})[keep]
 
     sets = written(
-        docs.select("doc_id", "text").join(narrow(wanted), "doc_id").select("cls", "text")
+        docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(narrow(wanted), "row").select("cls", "text")
         .mapInPandas(shingled, "cls binary, own binary").dropDuplicates(["cls"]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,6 +207,30 @@ def leftovers(live: DataFrame, roots: DataFrame, settings: Settings) -> DataFram
     return _found(left.join(right, "key").where((F.col("root") != F.col("o_root")) & _alike(settings)))
 
 
+def grouped(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, cls, ...) of every row, and (cls, first, root) of every class of equal sets: its first row as
+    (no_id, doc_id, row), rows without an id last, and the class that names its component."""
+    rows = written(signatures(docs, settings.width))
+    classes = written(rows.where("n > 0").groupBy("cls").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")))
+    homes = classes.select("cls", "first.row")
+    reps = written(rows.where("n > 0").select("cls", "n", "sig", "s0", "s1").dropDuplicates(["cls"]))
+    live = forest(reps, settings)
+    near = written(neighbours(regions(live, settings), settings))
+    best = lambda k: (  # noqa: E731  the k closest pairs of a class
+        near.withColumn("_at", F.row_number().over(Window.partitionBy("own").orderBy("apart", "other"))).where(F.col("_at") <= k).drop("_at"))
+    links = confirmed(best(1), docs, homes, settings)
+    roots = components(links)
+    for more in (best(4), near, None):
+        more = leftovers(live, roots, settings) if more is None else more
+        pairs = written(_across(more, roots))
+        if pairs.isEmpty():
+            continue
+        links = written(links.unionByName(confirmed(pairs, docs, homes, settings)))
+        roots = components(links)
+    return rows, classes.join(narrow(roots), F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: component_id is the smallest doc_id that links reach.
 
@@ -219,25 +244,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Null and empty texts have no shingles, stay alone and are kept. Equal texts and repeated rows share a
     component; rows that repeat a kept id are kept with it. Rows without an id take part and get the component's id, and are kept only if
     no row of it has one. An empty table gives no rows. Other columns are not read."""
-    rows = written(signatures(docs, settings.width))
+    rows, named = grouped(docs, settings)
     kind = rows.schema["doc_id"].dataType
-    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    reps = written(rows.where("n > 0").select("cls", "n", "sig", "s0", "s1").dropDuplicates(["cls"]))
-    live = forest(reps, settings)
-    near = written(neighbours(regions(live, settings), settings))
-    best = lambda k: (  # noqa: E731  the k closest pairs of a class
-        near.withColumn("_at", F.row_number().over(Window.partitionBy("own").orderBy("apart", "other"))).where(F.col("_at") <= k).drop("_at"))
-    links = confirmed(best(1), docs, classes, settings)
-    roots = components(links)
-    for more in (best(4), near, None):
-        more = leftovers(live, roots, settings) if more is None else more
-        pairs = written(_across(more, roots))
-        if pairs.isEmpty():
-            continue
-        links = written(links.unionByName(confirmed(pairs, docs, classes, settings)))
-        roots = components(links)
-    named = classes.join(narrow(roots), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = named.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
     ids = written(named.select("cls", "root").join(narrow(smallest), "root").select("cls", "component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col("doc_id"))).cast(kind).alias("component_id"),
@@ -245,8 +254,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of `docs`, all columns, whose id is the smallest of its component. Rows without an id stay only
-    if no row of their component has one."""
-    found = near_duplicates(docs, settings).select("doc_id", "kept").groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    gone = found.where("NOT _kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of `docs`, all columns, that are the first of their component: by id, rows without one last, then by
+    xxhash64(doc_id, text). Rows are judged by id and text, so rows that share an id, and rows without one, get the verdict
+    of their own text; repeated rows (equal id and text) are one row here and stay or go together. Texts without words stay."""
+    rows, named = grouped(docs, settings)
+    firsts = named.groupBy("root").agg(F.min("first").alias("keep"))
+    keeps = written(named.select("cls", "root").join(narrow(firsts), "root").select("cls", "keep"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    gone = written(rows.select("doc_id", "row", "cls").join(keeps, "cls").where(~own.eqNullSafe(F.col("keep"))).select(
+        F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct())
+    return docs.join(gone, (F.xxhash64("doc_id", "text") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
