@@ -1,12 +1,15 @@
 """Personal data: patterns, and terms that give away what the patterns find."""
 import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.tables import written
+from caseloom.llm.tables import narrow, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns, written so that none walks a run of characters twice.
@@ -16,19 +19,20 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-WORD = re.compile(r"[^\W\d_]+")
+MARKS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")   # letters with their combining marks
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`window`: words on each side of an entity whose terms are weighed. `letters`: least length of a term.
-    `contexts`: different contexts in which a term must stand with the entity. `bits`: a term that leaves fewer bits
-    of an entity's information undisclosed goes: PMI(term, entity) >= IC(entity) - bits."""
-    window: int = 5
+    """`letters`: least length of a term. `bits`: a term that leaves fewer bits of an entity's information undisclosed
+    goes: PMI(term, entity) >= IC(entity) - bits. `smooth`: texts without the entity added to those of each term, so
+    that few texts prove little. `sent`: texts with an entity whose lists are broadcast at most."""
     letters: int = 3
-    contexts: int = 3
+    smooth: int = 3
     bits: float = 1.0
+    sent: int = 100_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -68,83 +72,123 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], settings: Settings) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """For each span its value and the terms (word, start, end) among the `window` words before and after it."""
-    out = []
-    for kind, start, end in spans:
-        terms, before, reach = [], [], 64 * settings.window
-        # words are read outwards in pieces until there are enough or the text ends
-        low = max(0, start - reach)
-        while True:
-            before = [m for m in WORD.finditer(text, low, start)]
-            if low == 0 or len(before) > settings.window:
-                break
-            low = max(0, low - 4 * (start - low))
-        if low > 0:
-            before = before[1:]
-        terms = before[-settings.window:]
-        for m in WORD.finditer(text, end):
-            if len(terms) >= len(before[-settings.window:]) + settings.window:
-                break
-            terms.append(m)
-        inside = lambda m: any(a < m.end() and m.start() < b for _, a, b in spans)
-        value = f"{kind}:{text[start:end].lower() if kind == 'email' else digits(text[start:end])}"
-        out.append((value, [(m[0].lower(), *m.span()) for m in terms if m.end() - m.start() >= settings.letters and not inside(m)]))
+def terms(text: str, spans: list[tuple[str, int, int]], settings: Settings) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of the text that touches no span: lower case, composed."""
+    out, at = [], 0
+    ends = sorted((start, end) for _, start, end in spans)
+    for m in WORD.finditer(text):
+        start, end = m.span()
+        while at < len(ends) and ends[at][1] <= start:
+            at += 1
+        # spans that begin before the word's end can follow one that is over; few overlap
+        if end - start < settings.letters or any(a < end and start < b for a, b in _from(ends, at, end)):
+            continue
+        word = m[0].lower()
+        out.append((word if word.isascii() else unicodedata.normalize("NFC", word), start, end))
     return out
 
 
+def _from(ends: list[tuple[int, int]], at: int, before: int) -> Iterator[tuple[int, int]]:
+    while at < len(ends) and ends[at][0] < before:
+        yield ends[at]
+        at += 1
+
+
+def entity(text: str, kind: str, start: int, end: int) -> str:
+    return f"{kind}:{text[start:end].lower() if kind == 'email' else digits(text[start:end])}"
+
+
 def base(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, row, spans, near) of every row: `row` is xxhash64(doc_id, text), `near` the terms beside each entity."""
+    """(doc_id, row, same, spans, entities) of every row: `row` is xxhash64(doc_id, text), `same` is xxhash64(text),
+    `entities` the different values of the spans."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row bigint, spans {SPANS}, near array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
+    schema = f"doc_id {kind}, row bigint, same bigint, spans {SPANS}, entities array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [base_spans(t or "") for t in batch["text"]]
-            beside = [contexts(t, s, settings) if s else [] for t, s in zip(batch["text"], found)]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "row": batch["row"],
+                "doc_id": batch["doc_id"], "row": batch["row"], "same": batch["same"],
                 "spans": [[dict(zip(("kind", "start", "end"), x)) for x in s] for s in found],
-                "near": [[{"entity": e, "terms": [dict(zip(("term", "start", "end"), t)) for t in terms]} for e, terms in b] for b in beside],
+                "entities": [sorted({entity(t, *x) for x in s}) for t, s in zip(batch["text"], found)],
             })
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("same")).mapInPandas(run, schema)
+
+
+def counts(docs: DataFrame, copies: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
+    """(entity, term, texts): different texts that hold both, and with a null entity, those that hold the term.
+
+    Both come from one pass and one list of words. Each batch is counted in its task, by the number of rows with an equal text
+    (`copies`: same, n); as all rows of a text have the same terms, their sum over n is the number of texts."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, n, entities in zip(batch["text"], batch["n"], batch["entities"]):
+                own = {t for t, _, _ in terms(text, base_spans(text), settings)}
+                seen.update((None, t, n) for t in own)
+                for e in () if entities is None else entities:
+                    seen.update((e, t, n) for t in own)
+            yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["entity", "term", "n", "rows"])
+
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("same")).join(
+        narrow(copies), "same", "left").join(narrow(held, settings.sent), "same", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"), "entities")
+    by_n = texts.mapInPandas(run, "entity string, term string, n bigint, rows bigint").groupBy("entity", "term", "n").agg(F.sum("rows").alias("rows"))
+    return by_n.groupBy("entity", "term").agg(F.sum(F.expr("rows div n")).alias("texts"))
 
 
 def revealing(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, term) pairs in which the term gives the entity away.
-
-    p(term) and p(entity) are shares of all documents. A term that stands in `contexts` different contexts of an
-    entity is weighed: PMI(term, entity) = IC(entity) - IC(entity | term), and IC(entity | term) is -log2 of the share of
-    the term's documents that have it beside the entity. Equal contexts, as copies have, count once as evidence."""
-    beside = found.select("doc_id", "row", F.explode("near").alias("x")).select(
-        "doc_id", "row", "x.entity", F.xxhash64(F.transform("x.terms", lambda t: t["term"])).alias("context"), F.explode("x.terms.term").alias("term"))
-    together = beside.groupBy("entity", "term").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "row").alias("both")).where(F.col("contexts") >= settings.contexts)
-    together = written(together)
-    if together.isEmpty():
-        return together.select("entity", "term")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
-    per_term = docs.where("text IS NOT NULL").select(
-        F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))   # counted in the tasks before any exchange
-    # IC(entity | term) <= bits
-    share = F.least(F.col("both") / F.col("docs"), F.lit(1.0))
-    return written(together.join(per_term, "term").where(-F.log2(share) <= settings.bits).select("entity", "term"))
+    """(entity, terms): the terms that give the entity away, wherever in its texts they stand.
+
+    PMI(term, entity) = IC(entity) - IC(entity | term), and IC(entity | term) is -log2 of the share of the term's
+    different texts, and `smooth` more, that hold the entity. Equal texts count once as evidence."""
+    least = 2.0 ** -settings.bits
+    held = found.where(F.size("entities") > 0).select("same", F.explode("entities").alias("entity")).distinct()
+    # a share of `least` needs so many texts of the entity even if the term stands in no other
+    enough = held.groupBy("entity").agg(F.count("*").alias("of")).where(F.col("of") * (1 - least) >= least * settings.smooth).select("entity")
+    held = written(held.join(narrow(enough), "entity").groupBy("same").agg(F.collect_list("entity").alias("entities")))
+    if held.isEmpty():
+        return held.select(F.lit("").alias("entity"), F.array(F.lit("")).alias("terms")).limit(0)
+    copies = written(found.groupBy("same").agg(F.count("*").alias("n")).where("n > 1"))
+    found_in = written(counts(docs, copies, held, settings))
+    per_term = found_in.where("entity IS NULL").select(F.col("term").alias("word"), F.col("texts").alias("all"))
+    together = found_in.where(F.col("entity").isNotNull() & (F.col("texts") * (1 - least) >= least * settings.smooth))
+    tells = together.join(per_term, (F.col("term") == F.col("word")) & (F.col("texts") >= (F.col("all") + settings.smooth) * least))
+    return written(tells.groupBy("entity").agg(F.collect_set("term").alias("terms")))
+
+
+def marked(found: DataFrame, docs: DataFrame, tells: DataFrame, settings: Settings) -> DataFrame:
+    """(_doc, _row, marks): every occurrence of a term in a text that holds an entity which the term gives away."""
+    wanted = written(
+        found.where(F.size("entities") > 0).dropDuplicates(["doc_id", "row"])
+        .select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.explode("entities").alias("entity"))
+        .join(tells, "entity").groupBy("_doc", "_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks = []
+            for text, own in zip(batch["text"], batch["terms"]):
+                own = set(own)
+                marks.append([{"kind": "term", "start": a, "end": b} for t, a, b in terms(text, base_spans(text), settings) if t in own])
+            yield pd.DataFrame({"_doc": batch["_doc"], "_row": batch["_row"], "marks": marks})
+
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).join(
+        narrow(wanted, settings.sent), (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return rows.select("_doc", "_row", "text", "terms").mapInPandas(run, f"_doc {kind}, _row bigint, marks {SPANS}").dropDuplicates(["_doc", "_row"])
 
 
 def personal(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, row, spans) of every row: spans (kind, start, end) in code points, end exclusive, by kind as listed in
-    KINDS, then start. Kind `term` marks words beside an entity that give it away.
+    KINDS, then start. Kind `term` marks words that give away an entity of their text.
 
     Null and empty texts have no spans. Repeated rows are judged alike and all stay. Spans of different kinds may
     overlap; terms never overlap the others. An empty table gives no rows. Other columns are not read."""
     found = written(base(docs, settings))
-    pairs = revealing(found, docs, settings)
-    near = found.where(F.size("near") > 0).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode("near").alias("x")).select(
-        "doc_id", "row", "x.entity", F.explode("x.terms").alias("t"))
-    marks = near.select("doc_id", "row", "entity", "t.*").join(pairs, ["entity", "term"]).groupBy(
-        F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct(
-            F.lit("term").alias("kind"), F.col("start"), F.col("end")))).alias("marks"))
+    tells = revealing(found, docs, settings)
+    if tells.isEmpty():
+        return found.select("doc_id", "row", "spans")
+    marks = marked(found, docs, tells, settings)
     return found.join(marks, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
         "doc_id", "row", F.when(F.col("marks").isNull(), F.col("spans")).otherwise(F.concat("spans", "marks")).alias("spans"))
 
