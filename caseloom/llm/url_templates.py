@@ -9,7 +9,7 @@ from caseloom.llm.tables import written
 @dataclass(frozen=True)
 class Settings:
     """`children`: a place of a path with more different segments is variable; of them only those with `share` of its pages
-    stay by name. `levels`: segments of a path that make the tree, the rest counts as one. `similar`: standard errors
+    stay by name. `levels`: levels of the tree after which paths without siblings are finished at once. `similar`: standard errors
     within which a branch has its siblings' share of bad pages. `smooth`: labelled pages' worth of the overall
     share added to a template. `purity`: smoothed share of bad pages from which a template is rejected."""
     children: int = 16
@@ -40,11 +40,10 @@ def rule_of(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[C
     return rule, verdict
 
 
-def typed(path: Column, levels: int) -> Column:
-    """Segments of a path with numbers and long hex words generalised, `levels` of them, what follows as one."""
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(
+def typed(path: Column) -> Column:
+    """Segments of a path with numbers and long hex words generalised."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(
         F.regexp_replace(s, r"(?<![0-9A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}(?![0-9A-Fa-f])", "{hex}"), r"[0-9]+", "{num}"))
-    return F.when(F.size(parts) > levels, F.concat(F.slice(parts, 1, levels), F.array(F.lit("{rest}")))).otherwise(parts)
 
 
 def templates(paths: DataFrame, settings: Settings) -> DataFrame:
@@ -54,7 +53,8 @@ def templates(paths: DataFrame, settings: Settings) -> DataFrame:
     bad pages is that of all labelled siblings, within `similar` standard errors, become one branch `+`. Siblings without
     labelled pages stay apart, as nothing says that they are alike. A host costs sums, however many pages it has."""
     at = paths.withColumn("template", F.lit("")).withColumn("size", F.size("typed"))
-    for level in range(settings.levels + 1):
+    done, level = [], 0
+    while True:
         here = at.withColumn("seg", F.get("typed", F.lit(level)))
         nodes = here.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
         places = nodes.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"))
@@ -73,8 +73,20 @@ def templates(paths: DataFrame, settings: Settings) -> DataFrame:
         at = written(here.join(step, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")))
             .select("host", "typed", "n", "bad", "good", "template", "size"))
-        if at.where(F.col("size") > level + 1).isEmpty():
+        level += 1
+        if at.where(F.col("size") > level).isEmpty():
             break
+        if level >= settings.levels:
+            # a path alone below its template meets no sibling further down: its other segments stay as they are
+            below = at.groupBy("host", "template").agg(F.count("*").alias("below"))
+            at = written(at.join(below, ["host", "template"]).select(*at.columns, "below"))
+            rest = F.transform(F.slice("typed", level + 1, F.greatest(F.col("size") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), s))
+            done.append(at.where("below = 1").drop("below").withColumn("template", F.concat("template", F.array_join(rest, ""))))
+            at = at.where("below > 1").drop("below")
+            if at.where(F.col("size") > level).isEmpty():
+                break
+    for part in done:
+        at = at.unionByName(part)
     # how a path ends is part of its template: /a/* and /a are two
     return at.withColumn("template", F.concat("template", F.lit("$"), "size"))
 
@@ -95,7 +107,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | N
     if labels is not None:
         known = labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("bad").cast("int").alias("_bad"))
         rows, bad = rows.join(known, "page_id", "left"), F.coalesce("_bad", bad)
-    rows = written(rows.withColumn("bad", bad).withColumn("typed", typed(F.col("path"), settings.levels)).drop("_bad"))
+    rows = written(rows.withColumn("bad", bad).withColumn("typed", typed(F.col("path"))).drop("_bad"))
     paths = rows.groupBy("host", "typed").agg(
         F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum(1 - F.col("bad")), F.lit(0)).alias("good"))
     tree = templates(written(paths), settings)
