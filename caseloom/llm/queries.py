@@ -105,7 +105,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_dedup.EVERY_LINE)
     return cut.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"),
                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 

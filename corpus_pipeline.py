@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One occurrence of each line, near copies included. A document that loses every line with a word goes."""
-    cut = line_dedup.dedup_lines(docs)
+    """One occurrence of each line that has a word, however short, near copies included. A document that loses every line with a word goes."""
+    cut = line_dedup.dedup_lines(docs, line_dedup.EVERY_LINE)
     left = (F.size("dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")
     return cut.where(left).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
