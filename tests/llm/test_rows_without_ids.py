@@ -1,7 +1,6 @@
 """Rows are judged by id and text: null and repeated ids get the verdict of their own text."""
 import random
 
-import corpus_pipeline
 from caseloom.llm import decontaminate, near_dedup
 from test_duplicates import changed, prose
 
