@@ -3,7 +3,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.llm import (
-    decontaminate, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding, toxicity, url_templates,
+    decontaminate, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding, simhash_trie,
+    toxicity, url_templates,
 )
 from caseloom.llm.tables import held_out, table
 
@@ -127,3 +128,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(part([k])).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]],
         F.sha2(told(part(pii.KINDS[:4])), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@query("op11_simhash_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
