@@ -3,10 +3,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.llm import (
-    decontaminate, line_dedup, near_dedup, packing, pii, quality_knn, quality_rules, sharding, simhash_trie,
-    toxicity, url_templates,
+    decontaminate, line_dedup, near_dedup, packing, pii, prefix_trie, quality_knn, quality_rules, sharding,
+    simhash_trie, toxicity, url_templates,
 )
-from caseloom.llm.tables import held_out, table
+from caseloom.llm.tables import held_out, table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -133,3 +133,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash_trie")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(conv_id, path, chars): the first h turns of the conversation whose id is the next lower multiple of 100, then its own
+    after its first h."""
+    convs = written(prefix_trie.turns_of(turns))
+    heads = convs.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    joined = convs.join(heads, F.col("conv_id") - F.col("conv_id") % 100 == F.col("base"), "left").withColumn("h", h)
+    head = F.coalesce(F.slice("head", 1, F.col("h")), F.slice("turns", 1, 0))
+    own = F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0)))
+    return prefix_trie.paths(joined, F.concat(head, own))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')}
+        ORDER BY turn NULLS FIRST, sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, s, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+        lambda crc, c: list_reduce([xor(crc, c)] || CAST(range(8) AS BIGINT[]),
+            lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6 AS h FROM t),
+c AS (SELECT a.conv_id, coalesce(b.s, [])[1:h] || a.s[h + 1:] AS s FROM h a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends, CASE WHEN d > 0 THEN length(s[d].x) ELSE 0 END AS l
+      FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, max(l) AS l,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM p GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL),
+u AS (SELECT p[1:j] AS p, sum((n - 1) * l) AS saved, count(*) FILTER (WHERE k IS NULL) AS leaves
+      FROM (SELECT n.p, n.n, n.l, k.k, unnest(range(0, n.d + 1)) AS j FROM n LEFT JOIN k ON n.p = k.p) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN u ON n.p = u.p LEFT JOIN k ON n.p = k.p LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(rebuilt(table(spark, sf_dir, "conversations")))
