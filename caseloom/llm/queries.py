@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.llm import (
-    decontaminate, line_dedup, near_dedup, packing, pii, prefix_trie, quality_knn, quality_rules, sharding,
+    cover_tree, decontaminate, line_dedup, near_dedup, packing, pii, prefix_trie, quality_knn, quality_rules, sharding,
     simhash_trie, toxicity, url_templates,
 )
 from caseloom.llm.tables import held_out, table, written
@@ -171,3 +171,24 @@ FROM n JOIN u ON n.p = u.p LEFT JOIN k ON n.p = k.p LEFT JOIN n up ON n.d > 0 AN
 @query("op13_prefix_trie", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank,
+       s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 5"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cover_tree.usable(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
