@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom import settings as S
 from caseloom.functions import text as X
+from caseloom.operators.prefix import running
+from caseloom.plans.lineage import cut
 
 
 def default_stop_words() -> list[str]:
@@ -24,6 +26,25 @@ def term_counts(df: DataFrame, text: str = "narrative_clean", key: str = "case_i
     )
 
 
+def term_table(df: DataFrame, text: str = "narrative_clean", key: str = "case_id", stop=(), n: int = 2,
+               carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, terms) with one row a case and its terms as (term, tf), written: texts are taken apart
+    once, whatever the number of vocabularies and folds that read the table. A case without words has no terms."""
+    words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words")).repartition(key)
+    counted = (
+        words.select(key, *carry, F.explode_outer(X.ngrams(F.col("_words"), n)).alias("term"))
+        .groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
+    )
+    entry = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return cut(counted.groupBy(key, *carry).agg(F.collect_list(entry).alias("terms")))
+
+
+def counts_of(table: DataFrame, key: str = "case_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """What `term_counts` gives, from a written term table. Cases are hashed before their terms part, so
+    counts, norms and vectors need no exchange of terms."""
+    return table.repartition(key).select(key, *carry, F.inline("terms"))
+
+
 def term_stats(counts: DataFrame, *by: str) -> DataFrame:
     """(by, term, total, df): uses of every term and cases that use it."""
     return counts.groupBy(*by, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -34,10 +55,8 @@ def most_frequent(terms: DataFrame, size: int) -> DataFrame:
 
     The total of the last term kept is found first, from the number of terms per total, so
     that only terms at or above it are sorted."""
-    down = Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_total = terms.groupBy("total").agg(F.count("*").alias("n")).select(
-        "total", F.sum("n").over(down).alias("upto"))
-    floor = per_total.where(F.col("upto") >= size).agg(F.max("total")).scalar()
+    per_total = running(terms.groupBy("total").agg(F.count("*").alias("n")), [F.desc("total")], {"before": "n"})
+    floor = per_total.where(F.col("before") + F.col("n") >= size).agg(F.max("total")).scalar()
     return (
         terms.where(F.col("total") >= F.coalesce(floor, F.lit(0)))
         .orderBy(F.desc("total"), F.asc("term")).limit(size)
@@ -47,12 +66,12 @@ def most_frequent(terms: DataFrame, size: int) -> DataFrame:
 def select_terms(stats: DataFrame, n: Column, min_df: int, max_df: float, size: int) -> DataFrame:
     """(term, idx, total, df, idf): document-frequency bounds, then the `size` most frequent.
 
-    `idx` numbers the terms alphabetically from 0; `n` is the number of cases behind `stats`."""
+    `idx` numbers the terms alphabetically from 0, in one list of `size` terms at most; `n` is the number of cases
+    behind `stats`."""
     bounded = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n))
-    return most_frequent(bounded, size).select(
-        "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "total", "df",
-        (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"),
-    )
+    kept = most_frequent(bounded, size).agg(F.sort_array(F.collect_list(F.struct("term", "total", "df"))).alias("kept"))
+    return kept.select(F.posexplode("kept").alias("idx", "t")).select(
+        "t.term", "idx", "t.total", "t.df", (F.log((n + 1) / (F.col("t.df") + 1)) + 1).alias("idf"))
 
 
 def vocabulary(counts: DataFrame, docs: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:

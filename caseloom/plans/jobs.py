@@ -36,7 +36,7 @@ class Options:
     outcome_terms: int = 50_000
     model_min_df: int = 5
     model_max_df: float = 0.5
-    max_iter: int = 300
+    max_iter: int | None = None              # None: fits run to their optimum, which is checked
     folds: int = 5
     seed: int = 42
     target: float = 0.95
@@ -90,16 +90,16 @@ def save(results: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
 def text_job(cases: DataFrame, lexicon: DataFrame, o: Options) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Themes and tone of every case, and what they say about outcomes."""
     stop = V.default_stop_words() if o.stop is None else o.stop
-    unique = copies.first_per_group(cases.select("case_id", "text_group", "narrative_words", "narrative_clean")).where(
-        "narrative_words >= 5")
-    counts = V.term_counts(unique, stop=stop)
+    terms = V.term_table(cases, stop=stop, carry=("text_group", "narrative_words"))
+    unique = cut(copies.first_per_group(terms).where("narrative_words >= 5"))
+    counts = V.counts_of(unique)
     vocab = cut(V.vocabulary(counts, unique, o.topic_min_df, o.topic_max_df, o.topic_terms))
     model = topics.fit_topics(V.case_vectors(V.tfidf(counts, vocab)), vocab, o.seeds, o.topic_passes)
     for row in model.drift().where("drifted").collect():     # one row per topic
         print(f"Topic {row['topic_id']} ended away from its theme, {row['theme']}: its strongest terms hold "
               f"{row['kept']} of the {row['anchors']} it was started from")
 
-    everything = V.case_vectors(V.tfidf(V.term_counts(cases, stop=stop), vocab))
+    everything = V.case_vectors(V.tfidf(V.counts_of(terms), vocab))
     themes = model.assign(cases, everything)
     tones = tone.tone(cases, lexicon, first=o.first_sentences)
     sinks.write_table(themes.join(tones, "case_id"), f"{o.out}/text_features")
@@ -128,10 +128,12 @@ def model_job(cases: DataFrame, o: Options) -> tuple[DataFrame, dict[str, DataFr
     train, test = df.where("in_holdout = 0"), df.where("in_holdout = 1")
     fit = {"min_df": o.model_min_df, "max_df": o.model_max_df}
 
-    router = models.fit_router(train, size=o.route_terms, max_iter=o.max_iter, **fit)
-    routes = cut(router.predict(test, "product").withColumn(
+    terms = V.term_table(df, carry=("in_holdout",))     # texts are taken apart once for all models and folds
+    parts = terms.where("in_holdout = 0"), terms.where("in_holdout = 1")
+    router = models.fit_router(train, size=o.route_terms, max_iter=o.max_iter, terms=parts[0], **fit)
+    routes = cut(router.predict(test, "product", terms=parts[1]).withColumn(
         "correct", (F.col("route_pred") == F.col("product")).cast("int")))
-    scored = models.compare_variants(train, test, bucket(), max_iter=o.max_iter, size=o.outcome_terms, **fit)
+    scored = models.compare_variants(train, test, bucket(), max_iter=o.max_iter, terms=parts, size=o.outcome_terms, **fit)
     scored = {name: cut(table) for name, table in scored.items()}
     comparison = None
     for name, table in scored.items():
@@ -146,7 +148,8 @@ def model_job(cases: DataFrame, o: Options) -> tuple[DataFrame, dict[str, DataFr
         "relief_deciles": M.decile_table(scored["both"], "relief", "relief_score", "case_id", bucket()),
     }, o)
 
-    oof = models.out_of_fold(df.drop("in_holdout"), o.folds, seed=o.seed, max_iter=o.max_iter, size=o.outcome_terms, **fit)
+    oof = models.out_of_fold(df.drop("in_holdout"), o.folds, seed=o.seed, max_iter=o.max_iter, terms=terms,
+                             size=o.outcome_terms, **fit)
     sinks.write_table(models.score_table(df, oof, routes, bucket()), f"{o.out}/model_scores")
     return cases.sparkSession.read.parquet(f"{o.out}/model_scores"), results
 

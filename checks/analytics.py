@@ -95,11 +95,13 @@ def _hit(word: str) -> str:
     return f"CAST(regexp_matches(lower(narrative), '(?:^|{edge})(?:{word})(?:{edge}|$)') AS INT)"
 
 
-@query("p8_signal_flags", TEXTS + f"""
-SELECT case_id, {_hit('license')} AS licensed,
+TEXT_SIGNALS_SQL = f"""{_hit('license')} AS licensed,
        CAST(regexp_matches(lower(narrative), '[0-9]{{3}}') AS INT) AS numbered,
        CAST(contains(narrative, '@') AS INT) AS mailed, {_hit('this')} AS thisness,
-       {_hit('was')} AS past, {_hit('the|die|que|pour')} AS article FROM cases""")
+       {_hit('was')} AS past, {_hit('the|die|que|pour')} AS article"""
+
+
+@query("p8_signal_flags", TEXTS + f" SELECT case_id, {TEXT_SIGNALS_SQL} FROM cases")
 def signal_flags(spark, sf):
     return features.signal_flags(cases_text(spark, sf), TEXT_SIGNALS).select("case_id", *TEXT_SIGNALS)
 

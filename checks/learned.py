@@ -1,10 +1,11 @@
-"""Topics and models over the documents. No SQL: iterative fits; tests/ checks their properties."""
+"""Topics and models over the documents. Fits have no SQL; what their optimum must satisfy has, and tests/ check their properties."""
 from pyspark.sql import functions as F
 
 from caseloom.operators import copies, features, metrics as M, models, ranking, splits, topics, vocabulary as V
 from caseloom.plans.lineage import cut
-from checks.adapters import cases_text, stored_text
-from checks.analytics import TEXT_SIGNALS
+from checks.adapters import TEXTS, cases_text, stored_text
+from checks.analytics import TEXT_SIGNALS, TEXT_SIGNALS_SQL
+from checks.evaluation import HOLDOUT
 from checks.narratives import STOP
 from checks.registry import query
 
@@ -52,8 +53,22 @@ def assignments(spark, sf):
 # ---- models --------------------------------------------------------------------------------
 CATEGORIES = ("product", "company_model", "sub_product", "sub_issue", "state")
 NUMBERS = (*TEXT_SIGNALS, "log_words")
-OPTIONS = {"categories": CATEGORIES, "numbers": NUMBERS, "size": 5000}
+OPTIONS = {"categories": CATEGORIES, "numbers": NUMBERS}
 TEXT_KEY = 65536
+FOLDS = 5
+
+MODEL_CASES = TEXTS + HOLDOUT + f""",
+top100 AS (SELECT company FROM cases GROUP BY company ORDER BY count(*) DESC, company LIMIT 100),
+model_cases AS (
+  SELECT case_id, product, CASE WHEN company IN (SELECT company FROM top100) THEN company ELSE 'Other' END AS company_model,
+         '(none)' AS sub_product, '(none)' AS sub_issue, 'Unknown' AS state, relief, place, g,
+         CAST(place <= CAST(ceil(g / 5.0) AS BIGINT) AS INT) AS in_holdout, {TEXT_SIGNALS_SQL},
+         ln(1 + narrative_words) / ln(1 + max(narrative_words) OVER ()) AS log_words
+  FROM cases JOIN order_of_groups USING (text_group)),
+levels AS (
+  SELECT name, level, CAST(dense_rank() OVER (ORDER BY name, CASE WHEN n >= 20 THEN level END NULLS LAST) - 1 AS INT) AS idx
+  FROM (SELECT name, level, count(*) AS n FROM (
+    {" UNION ALL ".join(f"SELECT '{c}' AS name, {c} AS level FROM model_cases WHERE in_holdout = 0" for c in CATEGORIES)}) GROUP BY ALL))"""
 
 
 def model_cases(spark, sf):
@@ -64,40 +79,80 @@ def model_cases(spark, sf):
     return cut(splits.group_holdout(df, "text_group", 0.2, 42))
 
 
-def routed(spark, sf):
-    df = model_cases(spark, sf)
-    router = models.fit_router(df.where("in_holdout = 0"), size=5000, max_iter=50)
-    return df, router.predict(df.where("in_holdout = 1"), "product")
+def routed(df):
+    """(router, terms of all cases, routes of the hold-out)."""
+    terms = V.term_table(df, carry=("in_holdout",))
+    train, test = terms.where("in_holdout = 0"), terms.where("in_holdout = 1")
+    router = models.fit_router(df.where("in_holdout = 0"), terms=train)
+    return router, terms, router.predict(df.where("in_holdout = 1"), "product", terms=test)
 
 
 @query("m3_routing_report")
 def routing_report(spark, sf):
-    return M.class_report(cut(routed(spark, sf)[1]), "product", "route_pred")
+    return M.class_report(cut(routed(model_cases(spark, sf))[2]), "product", "route_pred")
+
+
+@query("m3_class_balance", MODEL_CASES + """
+SELECT product AS label, count(*) AS cases, CAST(count(*) AS DOUBLE) AS predicted FROM model_cases WHERE in_holdout = 0 GROUP BY product""")
+def class_balance(spark, sf):
+    """At the optimum the predicted probabilities of a class add up to its training rows."""
+    df = model_cases(spark, sf).where("in_holdout = 0")
+    return models.fit_router(df).balance().withColumn("predicted", F.round("predicted", 1))
 
 
 @query("m4_routes")
 def routes(spark, sf):
-    return routed(spark, sf)[1]
+    return routed(model_cases(spark, sf))[2]
 
 
-@query("d6_category_levels")
+@query("d6_category_levels", MODEL_CASES + " SELECT * FROM levels")
 def category_levels(spark, sf):
     return models.category_levels(model_cases(spark, sf).where("in_holdout = 0"), CATEGORIES)
 
 
-@query("m5_design")
+@query("m5_design", MODEL_CASES + f""",
+long AS ({" UNION ALL ".join(f"SELECT case_id, '{c}' AS name, {c} AS level FROM model_cases" for c in CATEGORIES)}),
+fields AS (SELECT case_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS fields FROM long JOIN levels USING (name, level) GROUP BY case_id)
+SELECT case_id, coalesce(fields, '') AS fields,
+       concat_ws(',', {", ".join(f"CAST(round(1e6 * {c}) AS BIGINT)" for c in NUMBERS)}) AS numbers
+FROM model_cases LEFT JOIN fields USING (case_id)""")
 def design_matrix(spark, sf):
     df = model_cases(spark, sf)
-    design = models.fit_design(df.where("in_holdout = 0"), **OPTIONS)
-    return design.parts(df).select("case_id", F.to_json("fields").alias("fields"), F.to_json("numbers").alias("numbers"),
-                                   F.size("indices").alias("terms"))
+    train = df.where("in_holdout = 0")
+    levels = models.category_levels(train, CATEGORIES)
+    vocab = spark.createDataFrame([], "term string, idx int, total long, df long, idf double")
+    parts = models.design_of(levels, vocab, CATEGORIES, NUMBERS).fields(df)
+    millionths = F.transform("numbers", lambda x: F.round(x * 1e6).cast("long").cast("string"))
+    return parts.select("case_id", F.array_join(F.transform("fields", lambda i: i.cast("string")), ",").alias("fields"),
+                        F.array_join(millionths, ",").alias("numbers"))
+
+
+@query("m5_text_terms", MODEL_CASES + """,
+grams AS (SELECT case_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+          FROM (SELECT case_id, regexp_extract_all(narrative_clean, '[a-z]{2,}') AS w FROM cases)),
+train AS (SELECT case_id FROM model_cases WHERE in_holdout = 0),
+counts AS (SELECT case_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, ln((1 + (SELECT count(*) FROM train)) / CAST(1 + df AS DOUBLE)) + 1 AS idf
+          FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM counts SEMI JOIN train USING (case_id) GROUP BY term
+                HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM train) ORDER BY total DESC, term LIMIT 50000)),
+raws AS (SELECT case_id, idx, (1 + ln(tf)) * idf AS raw FROM counts JOIN vocab USING (term))
+SELECT case_id, count(*) AS terms, CAST(sum(idx) AS BIGINT) AS at, round(max(raw) / sqrt(sum(raw * raw)), 9) AS largest FROM raws GROUP BY case_id""")
+def text_terms(spark, sf):
+    """What the text adds to each case under the vocabulary of the training cases."""
+    df = model_cases(spark, sf)
+    terms = V.term_table(df, carry=("in_holdout",))
+    design = models.fit_design(df.where("in_holdout = 0"), terms=terms.where("in_holdout = 0"), **OPTIONS)
+    parts = design.parts(df, terms=terms).where(F.size("indices") > 0)
+    at = F.aggregate("indices", F.lit(0).cast("long"), lambda s, i: s + i)
+    return parts.select("case_id", F.size("indices").cast("long").alias("terms"), at.alias("at"),
+                        F.round(F.array_max("values"), 9).alias("largest"))
 
 
 @query("m6_model_comparison")
 def model_comparison(spark, sf):
     df = model_cases(spark, sf)
     bucket = ranking.id_bucket("case_id", TEXT_KEY)
-    scored = models.compare_variants(df.where("in_holdout = 0"), df.where("in_holdout = 1"), bucket, max_iter=50, **OPTIONS)
+    scored = models.compare_variants(df.where("in_holdout = 0"), df.where("in_holdout = 1"), bucket, **OPTIONS)
     rows = None
     for name, table in scored.items():
         row = M.model_row(cut(table), name, "relief", "relief_score", "case_id", bucket)
@@ -105,13 +160,40 @@ def model_comparison(spark, sf):
     return rows
 
 
+def balance(spark, names, optima):
+    rows = [(name, n, sum(o.counts), round(p, 1)) for name, o in zip(names, optima) for n, p in [(o.counts[1], o.predicted[1])]]
+    return spark.createDataFrame(rows, "fit string, relief long, cases long, predicted double")
+
+
+@query("m6_class_balance", MODEL_CASES + """
+SELECT unnest(['fields', 'text', 'both']) AS fit, CAST(sum(relief) AS BIGINT) AS relief, count(*) AS cases,
+       CAST(sum(relief) AS DOUBLE) AS predicted FROM model_cases WHERE in_holdout = 0""")
+def variant_balance(spark, sf):
+    df, optima = model_cases(spark, sf), []
+    models.compare_variants(df.where("in_holdout = 0"), df.where("in_holdout = 1"), None, optima=optima, **OPTIONS)
+    return balance(spark, ("fields", "text", "both"), optima)
+
+
 @query("m7_out_of_fold")
 def out_of_fold(spark, sf):
-    return models.out_of_fold(model_cases(spark, sf).drop("in_holdout"), 5, max_iter=30, **OPTIONS)
+    return models.out_of_fold(model_cases(spark, sf).drop("in_holdout"), FOLDS, **OPTIONS)
+
+
+@query("m7_class_balance", MODEL_CASES + """,
+sizes AS (SELECT max(g) // 5 AS small, max(g) % 5 AS extra FROM order_of_groups),
+folds AS (SELECT relief, CASE WHEN place <= extra * (small + 1) THEN (place - 1) // (small + 1)
+                              ELSE extra + (place - 1 - extra * (small + 1)) // small END AS fold FROM model_cases, sizes)
+SELECT CAST(k AS VARCHAR) AS fit, CAST(sum(relief) AS BIGINT) AS relief, count(*) AS cases, CAST(sum(relief) AS DOUBLE) AS predicted
+FROM folds, range(5) r(k) WHERE fold <> k GROUP BY k""")
+def fold_balance(spark, sf):
+    optima = []
+    models.out_of_fold(model_cases(spark, sf).drop("in_holdout"), FOLDS, optima=optima, **OPTIONS)
+    return balance(spark, map(str, range(FOLDS)), optima)
 
 
 @query("m16_score_table")
 def score_table(spark, sf):
-    df, held = routed(spark, sf)
-    scores = models.out_of_fold(df, 2, max_iter=30, **OPTIONS)
+    df = model_cases(spark, sf)
+    _, terms, held = routed(df)
+    scores = models.out_of_fold(df, FOLDS, terms=terms, **OPTIONS)
     return models.score_table(df, scores, held, ranking.id_bucket("case_id", TEXT_KEY))

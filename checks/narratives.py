@@ -54,8 +54,8 @@ vocab AS (
 @query("t4_vocabulary", TOKENS + COUNTS + _vocabulary("counts", "cases") + """
 SELECT term, idx, total, df, round(idf, 9) AS idf FROM vocab""")
 def vocabulary(spark, sf):
-    df = cases_text(spark, sf)
-    return V.vocabulary(V.term_counts(df, stop=STOP), df, 10, 0.4, 3000).withColumn("idf", F.round("idf", 9))
+    terms = V.term_table(cases_text(spark, sf), stop=STOP)
+    return V.vocabulary(V.counts_of(terms), terms, 10, 0.4, 3000).withColumn("idf", F.round("idf", 9))
 
 
 TFIDF = """,
@@ -65,9 +65,9 @@ SELECT case_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY case_id)
 
 @query("t5_tfidf", TOKENS + COUNTS + _vocabulary("counts", "cases") + TFIDF)
 def tfidf(spark, sf):
-    df = cases_text(spark, sf)
-    counts = V.term_counts(df, stop=STOP)
-    return V.tfidf(counts, V.vocabulary(counts, df, 10, 0.4, 3000)).withColumn("weight", F.round("weight", 9))
+    terms = V.term_table(cases_text(spark, sf), stop=STOP)
+    counts = V.counts_of(terms)
+    return V.tfidf(counts, V.vocabulary(counts, terms, 10, 0.4, 3000)).withColumn("weight", F.round("weight", 9))
 
 
 @query("t6_transform_new_text", TOKENS + COUNTS + """,
@@ -76,10 +76,10 @@ fit_counts AS (SELECT * FROM counts SEMI JOIN uniques USING (case_id))"""
        + _vocabulary("fit_counts", "uniques") + TFIDF)
 def transform_new_text(spark, sf):
     """Vocabulary from one case per text, applied to all cases."""
-    df = stored_text(spark, sf)
-    unique = copies.first_per_group(df)
-    vocab = V.vocabulary(V.term_counts(unique, stop=STOP), unique, 10, 0.4, 3000)
-    return V.tfidf(V.term_counts(df, stop=STOP), vocab).withColumn("weight", F.round("weight", 9))
+    terms = V.term_table(cases_text(spark, sf), stop=STOP, carry=("text_group",))
+    unique = copies.first_per_group(terms)
+    vocab = V.vocabulary(V.counts_of(unique), unique, 10, 0.4, 3000)
+    return V.tfidf(V.counts_of(terms), vocab).withColumn("weight", F.round("weight", 9))
 
 
 PHRASES = TOKENS + """,
