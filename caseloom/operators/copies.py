@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.operators.skew import attach_by_key
+from caseloom.plans.lineage import cut
 
 
 def group_sizes(df: DataFrame, group: str = "text_group") -> DataFrame:
@@ -11,8 +12,8 @@ def group_sizes(df: DataFrame, group: str = "text_group") -> DataFrame:
 
 def mark_copies(df: DataFrame, group: str = "text_group", row_id: str = "case_id") -> DataFrame:
     """Group size and duplicate flag on every row. No window over a group: one form letter may
-    make up a third of all cases."""
-    sized = attach_by_key(df, group_sizes(df, group), group, "dup_count", row_id)
+    make up a third of all cases. Group sizes are written once."""
+    sized = attach_by_key(df, cut(group_sizes(df, group)), group, "dup_count", row_id)
     return sized.withColumn("is_duplicate_text", (F.col("dup_count") > 1).cast("int"))
 
 

@@ -2,7 +2,8 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caseloom.functions.numbers import mean_of_rounded, ratio
-from caseloom.operators.ranking import global_rank, rank_bucket
+from caseloom.operators.prefix import running
+from caseloom.operators.ranking import rank_bucket, rows_at
 
 
 def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -96,9 +97,8 @@ def first_threshold(curve: DataFrame, target: float = 0.95) -> DataFrame:
 
 
 def score_histogram(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Hits and misses per distinct score. Scores are rounded to six decimals beforehand, so
-    there are a million rows at most whatever the number of cases."""
-    return df.groupBy(F.col(score).alias("score")).agg(
+    """Hits and misses per distinct score, rounded or not. Cases without a score don't count."""
+    return df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum(1 - F.col(label).cast("long")).alias("neg"),
     )
@@ -107,9 +107,7 @@ def score_histogram(df: DataFrame, label: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Chance that a hit scores above a miss; ties count half."""
     big = lambda c: c.cast("decimal(38,0)")
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = score_histogram(df, label, score).withColumn(
-        "below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    ranked = running(score_histogram(df, label, score), [F.col("score")], {"below": "neg"})
     wins = F.sum(big(F.col("pos").cast("decimal(19,0)") * (F.col("below") * 2 + F.col("neg")).cast("decimal(18,0)")))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double") * 2
     return ranked.agg(F.try_divide(wins.cast("double"), pairs).alias("roc_auc"))
@@ -117,24 +115,29 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Step-wise area under precision and recall (no interpolation)."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = score_histogram(df, label, score).withColumns({
-        "tp": F.sum("pos").over(down), "called": F.sum(F.col("pos") + F.col("neg")).over(down)})
+    counted = running(score_histogram(df, label, score), [F.desc("score")], {"tp": "pos", "called": F.col("pos") + F.col("neg")})
+    steps = counted.withColumns({"tp": F.col("tp") + F.col("pos"), "called": F.col("called") + F.col("pos") + F.col("neg")})
     gain = F.col("pos") * ratio(F.col("tp"), F.col("called"))
     return steps.agg(F.round(
         F.try_divide(F.sum(gain), F.sum("pos").cast("double")), 9).alias("average_precision"))
 
 
 def lift_stats(df: DataFrame, label: str, score: str, key: str, bucket) -> DataFrame:
-    """Capture in the top 20% of the queue, precision and lift in its top 10%."""
-    ranked = global_rank(df, score, key, bucket, descending=True)
-    hit = F.col(label).cast("long")
-    n = F.max("ranked")
-    top = lambda tenths: F.col("rank") <= F.call_function("div", F.col("ranked") * tenths, F.lit(10))
-    in20, in10 = F.sum(F.when(top(2), hit)), F.sum(F.when(top(1), hit))
-    size10 = F.count_if(top(1))
-    precision, base = ratio(in10, size10), ratio(F.sum(hit), n)
-    return ranked.agg(
+    """Capture in the top 20% of the queue, precision and lift in its top 10%.
+
+    The last case of each is found first, then every case is compared with it: no case moves. Cases without a score
+    are the end of the queue; they count, and none of them is in its top."""
+    n = df.count()
+    sizes = [n * 2 // 10, n // 10]
+    lasts = rows_at(df, score, lambda scored: [min(size, scored) for size in sizes], key, bucket, True)
+    hit, top = F.col(label).cast("long"), []
+    for size, last in zip(sizes, lasts):
+        s = F.col(score)
+        inside = F.lit(False) if last is None else (s > F.lit(last[0])) | ((s == F.lit(last[0])) & (F.col(key) <= F.lit(last[1])))
+        top.append(F.coalesce(inside, F.lit(False)))
+    in20, in10 = (F.sum(F.when(t, hit)) for t in top)
+    precision, base = ratio(in10, F.count_if(top[1])), ratio(F.sum(hit), F.count("*"))
+    return df.agg(
         ratio(in20, F.sum(hit)).alias("capture_top20"),
         precision.alias("precision_top10"),
         F.try_divide(precision, base).alias("lift_top10"),

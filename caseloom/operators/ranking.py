@@ -20,7 +20,8 @@ def global_rank(df: DataFrame, score: str, key: str, bucket: Column, descending:
     `score` must have a bounded number of values (round it first); `key` is unique and `bucket`
     rises with it. Offsets come from counts per (score, bucket); rows are numbered only inside
     their own (score, bucket) cell, so a score shared by a third of all rows is still spread
-    over all buckets. The one window without a partition runs over the distinct scores."""
+    over all buckets. The one window without a partition runs over the distinct scores. Rows without a score are ranked
+    where Spark sorts nulls: first in rising order, last in falling order."""
     ordered = F.col(score).desc() if descending else F.col(score).asc()
     rows = df.withColumn("_bucket", bucket)
     cells = rows.groupBy(score, "_bucket").agg(F.count("*").alias("_n"))
@@ -37,7 +38,7 @@ def global_rank(df: DataFrame, score: str, key: str, bucket: Column, descending:
     inside = Window.partitionBy(score).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cells.withColumn("_earlier", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(by_score, F.col(score) == F.col("_score"))
+        .join(by_score, F.col(score).eqNullSafe(F.col("_score")))
         .select(
             F.col(score).alias("_offset_score"), F.col("_bucket").alias("_offset_bucket"),
             (F.col("_before") + F.col("_earlier")).alias("_offset"), "ranked",
@@ -48,7 +49,7 @@ def global_rank(df: DataFrame, score: str, key: str, bucket: Column, descending:
         rows.withColumn("_place", F.row_number().over(cell))
         .join(
             offsets,
-            (F.col(score) == F.col("_offset_score")) & (F.col("_bucket") == F.col("_offset_bucket")),
+            F.col(score).eqNullSafe(F.col("_offset_score")) & F.col("_bucket").eqNullSafe(F.col("_offset_bucket")),
         )
         .select(*df.columns, (F.col("_offset") + F.col("_place")).alias("rank"), "ranked")
     )
@@ -63,36 +64,72 @@ def quantile_bucket(rank: Column, n: Column, k: int) -> Column:
 
 
 BINS = 4096
+CELL_ROWS = 100_000      # rows of a bin that are sorted by cells
+LARGEST = 1.7976931348623157e308
 
 
-def last_rows(df: DataFrame, score: str, k: int, key: str, bucket: Column, descending: bool) -> list[tuple]:
-    """(score, key) of the last row of buckets 1..k-1 in the order of (score, key); null scores have no place.
+def rows_at(df: DataFrame, score: str, places, key: str, bucket: Column, descending: bool) -> list[tuple | None]:
+    """(score, key) of the rows at some places, counted from 1, in the order of (score, key); null scores have no place.
 
-    Rows are counted by bins of the score's range, then by (score, bucket of the key) in the bins that hold a
-    cut, then numbered in the cells that hold one. The driver sees BINS counts and k - 1 rows."""
+    `places` is a function of the number of rows with a score. Rows are counted in even bins between the least and the greatest
+    score; a bin that holds a place and more than `CELL_ROWS` rows is parted again between its own least and greatest
+    score, so outliers cost a pass each time they are cut off, not a bin with all rows. What is left is counted by (score, bucket
+    of the key), and the cells with a place are numbered. The driver sees BINS counts a place, and the rows found. A place
+    below 1 gives None."""
     rows = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(key).alias("key"), bucket.alias("b"))
-    low, high, n = rows.agg(F.min(F.col("s").cast("double")), F.max(F.col("s").cast("double")), F.count("*")).first()
-    if not n:
-        return []
-    width = (high - low) / BINS or 1.0
-    place = F.least(F.floor((F.col("s").cast("double") - low) / width), F.lit(BINS - 1)).cast("int")
-    rows = rows.withColumn("bin", (BINS - 1 - place) if descending else place)
-    counts = sorted(rows.groupBy("bin").count().collect())
-    wanted, before = [], 0
-    ends = [j * (n - 1) // k + 1 for j in range(1, k)]
-    for at, count in counts:
-        wanted += [(j, at, end - before) for j, end in enumerate(ends) if before < end <= before + count]
-        before += count
-    cuts = df.sparkSession.createDataFrame(wanted, "cut int, bin int, place long")
+    value = F.greatest(F.least(F.col("s").cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))     # infinite scores share the outer bins
+    rows = rows.withColumn("o", -value if descending else value)
+    low, high, n = rows.agg(F.min("o"), F.max("o"), F.count("*")).first()
+    wanted = places(n)
+    open_ = {j: (low, high, place, n) for j, place in enumerate(wanted) if place >= 1}
+    done: dict[int, tuple] = {}
+    while open_:
+        done |= {j: r for j, r in open_.items() if r[3] <= CELL_ROWS or _width(*r[:2]) <= 0}
+        open_ = {j: r for j, r in open_.items() if j not in done}
+        if not open_:
+            break
+        ranges = sorted({r[:2] for r in open_.values()})
+        inside, bin_ = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for i, (lo, hi) in enumerate(ranges):
+            here, width = F.col("o").between(lo, hi), _width(lo, hi)
+            inside = F.when(here, i).otherwise(inside)
+            bin_ = F.when(here, F.floor(F.col("o") / width - lo / width).cast("double")).otherwise(bin_)
+        counts = rows.select("o", inside.alias("i"), bin_.alias("bin")).where("i IS NOT NULL").groupBy("i", "bin").agg(
+            F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).orderBy("i", "low").collect()
+        for j, (lo, hi, place, held) in open_.items():
+            before = 0
+            for c in (c for c in counts if ranges[c["i"]] == (lo, hi)):
+                if before < place <= before + c["n"]:
+                    same = c["n"] == held and (c["low"], c["high"]) == (lo, hi)     # no double lies between
+                    open_[j] = (c["low"], c["high"], place - before, 0 if same else c["n"])
+                    break
+                before += c["n"]
+    if not done:
+        return [None for _ in wanted]
+    ranges = sorted({r[:2] for r in done.values()})
+    inside = F.array_compact(F.array(*[F.when(F.col("o").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(ranges)]))   # ranges may overlap
+    cuts = df.sparkSession.createDataFrame([(j, ranges.index(r[:2]), r[2]) for j, r in done.items()], "cut int, bin int, place long")
     order = [F.desc("s") if descending else F.asc("s"), F.asc("b")]
     upto = Window.partitionBy("bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = rows.where(F.col("bin").isin(sorted({w[1] for w in wanted})))
+    held = rows.withColumn("bin", F.explode(inside))
     cells = held.groupBy("bin", "s", "b").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
     found = cells.join(F.broadcast(cuts), "bin").where("place <= upto AND place > upto - n").select(
-        "cut", F.col("s").alias("cut_s"), F.col("b").alias("cut_b"), (F.col("place") - F.col("upto") + F.col("n")).alias("inside"))
-    numbered = held.join(F.broadcast(found), (F.col("s") == F.col("cut_s")) & (F.col("b") == F.col("cut_b"))).withColumn(
-        "at", F.row_number().over(Window.partitionBy("cut").orderBy("key")))
-    return [tuple(r) for r in numbered.where("at = inside").orderBy("cut").select("s", "key").collect()]
+        "cut", F.col("bin").alias("cut_bin"), F.col("s").alias("cut_s"), F.col("b").alias("cut_b"),
+        (F.col("place") - F.col("upto") + F.col("n")).alias("inside"))
+    same = (F.col("bin") == F.col("cut_bin")) & (F.col("s") == F.col("cut_s")) & F.col("b").eqNullSafe(F.col("cut_b"))
+    numbered = held.join(F.broadcast(found), same).withColumn("at", F.row_number().over(Window.partitionBy("cut").orderBy("key")))
+    rows_found = {r["cut"]: (r["s"], r["key"]) for r in numbered.where("at = inside").select("cut", "s", "key").collect()}
+    return [rows_found.get(j) for j in range(len(wanted))]
+
+
+def _width(low: float, high: float) -> float:
+    return high / BINS - low / BINS
+
+
+def last_rows(df: DataFrame, score: str, k: int, key: str, bucket: Column, descending: bool) -> list[tuple]:
+    """(score, key) of the last row of buckets 1..k-1 in the order of (score, key); null scores have no place."""
+    ends = lambda n: [j * (n - 1) // k + 1 for j in range(1, k)] if n else []
+    return rows_at(df, score, ends, key, bucket, descending)
 
 
 def rank_bucket(df: DataFrame, score: str, k: int, key: str, bucket: Column, name: str,

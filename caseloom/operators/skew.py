@@ -1,40 +1,30 @@
 """Key lookups that stay even when one key holds a large part of the rows."""
 from pyspark.sql import DataFrame, functions as F
 
-# A key is heavy when it holds 1/1000 of all rows or more, so there are 1000 heavy keys at most.
+# Rows of one key that a task takes on in a lookup, and the share of all rows that is as many.
+TASK_ROWS = 200_000
 HEAVY_SHARE = 1000
 SALTS = 4096
 
 
 def attach_by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str,
-                  heavy_share: int = HEAVY_SHARE) -> DataFrame:
-    """Left join of `rows` with `lookup`, which has one row per key.
+                  heavy_share: int = HEAVY_SHARE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Left join of `rows` with `lookup`, a written table that has one row per key.
 
-    `weight` is the number of rows that carry the key. Heavy keys are answered by a broadcast of
-    `heavy_share` rows at most. The rest is a shuffle join in which rows already answered are
-    spread by a hash of `spread` (any unique column), so no task gets a whole heavy key; so are rows
-    without a key, which match nothing. Nothing is dropped: every row leaves with the value of its key."""
+    `weight` is the number of rows that carry the key. A key is dealt to as many tasks as its weight asks for: its lookup row is
+    repeated ceil(weight / limit) times, and its rows are spread over these by a hash of `spread` (any unique
+    column). The limit is `task_rows`, or a `heavy_share`-th of all rows if that is less, so the broadcast (key, times) of keys
+    beyond it has total / limit rows at most. Rows without a key match nothing and are spread too. Nothing is dropped."""
     values = [c for c in lookup.columns if c != key]
-    total = lookup.agg(F.sum(weight)).scalar()
-    sized = lookup.withColumn("_heavy", F.col(weight) * heavy_share >= total)
-    heavy = sized.where("_heavy").select(
-        F.col(key).alias("_heavy_key"), F.struct(*values).alias("_heavy_value")
-    )
-    light = sized.select(
-        F.col(key).alias("_light_key"),
-        F.when(F.col("_heavy"), -1).otherwise(0).alias("_light_salt"),
-        F.struct(*values).alias("_light_value"),
-    )
-    answered = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left").withColumn(
-        "_salt",
-        F.when(F.col("_heavy_key").isNull() & F.col(key).isNotNull(), 0)
-        .otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)) + 1).cast("int"),
-    )
-    joined = answered.join(
-        light,
-        (F.col(key) == F.col("_light_key")) & (F.col("_salt") == F.col("_light_salt")),
-        "left",
-    ).withColumn("_value", F.coalesce("_heavy_value", "_light_value"))
+    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    limit = max(1, min(task_rows, total // heavy_share))
+    times = F.ceil(F.col(weight) / limit).cast("int")
+    heavy = lookup.where(F.col(key).isNotNull() & (times > 1)).select(F.col(key).alias("_heavy_key"), times.alias("_times"))
+    salted = lookup.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.struct(*values).alias("_value"), F.explode(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1)).alias("_at"))
+    dealt = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.when(F.col(key).isNull(), SALTS).otherwise(F.coalesce("_times", F.lit(1)))).cast("int"))
+    joined = dealt.join(salted, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_at")), "left")
     return joined.select(*rows.columns, *[F.col("_value")[c].alias(c) for c in values])
 
 

@@ -149,3 +149,70 @@ def test_packed_columns_hold_more_places_than_four_bits(spark):
     for r in star.packed(df, ()).collect():
         assert names["product", r.b0 & 31] == f"p{r.case_id % 20}" and r.b0 >> 7 & 1 == 1
         assert names["month", r.b2 >> 4] == f"2020-{r.case_id % 40:02}" and names["theme", r.b1 & 31] == f"t{r.case_id % 3}"
+
+
+@pytest.mark.parametrize("odd", [[1e300], [float("inf"), float("-inf")], [1e12, -1e12, 5e-324]])
+def test_outliers_do_not_fill_one_bin(spark, monkeypatch, odd):
+    monkeypatch.setattr(K, "CELL_ROWS", 50)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0.25, rng.random()])) for i in range(2000)] + [(5000 + i, s) for i, s in enumerate(odd)] + [(9000, None)]
+    df = spark.createDataFrame(rows, "case_id long, score double")
+    for descending in (False, True):
+        ranked = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], r[0]))
+        places = [1, 2, 700, 1000, 1001, len(ranked)]
+        got = K.rows_at(df, "score", lambda n: [0, *places], "case_id", K.id_bucket("case_id", 100), descending)
+        assert got == [None, *[(ranked[p - 1][1], ranked[p - 1][0]) for p in places]]
+
+
+def test_whole_numbers_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(K, "CELL_ROWS", 3)
+    rows = [(i, 2**60 + i % 7) for i in range(40)]
+    got = K.rows_at(spark.createDataFrame(rows, "case_id long, score long"), "score", lambda n: [9, 30], "case_id", K.id_bucket("case_id", 4), False)
+    ranked = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert got == [(ranked[8][1], ranked[8][0]), (ranked[29][1], ranked[29][0])]
+
+
+def test_lift_with_null_scores_at_the_end(spark):
+    from caseloom.operators.metrics import lift_stats
+
+    rows = [(i, None if i % 4 == 0 else (i * 37) % 11 / 10, int(i % 3 == 0)) for i in range(100)]
+    got = lift_stats(spark.createDataFrame(rows, "case_id long, score double, hit int"), "hit", "score", "case_id", K.id_bucket("case_id", 16)).first()
+    queue = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    hits = sum(r[2] for r in rows)
+    assert got.capture_top20 == sum(r[2] for r in queue[:20]) / hits and got.base_rate == hits / 100
+    assert got.precision_top10 == sum(r[2] for r in queue[:10]) / 10
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_running_sums(spark, ranges):
+    from caseloom.operators.prefix import numbered, running
+
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(50), None if i % 9 == 0 else rng.randrange(100)) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, g int, x int").repartition(ranges)
+    got = {r["id"]: (r["before"], r["seen"]) for r in running(df, [F.desc("g"), F.asc("id")], {"before": "x", "seen": F.lit(1)}).collect()}
+    want, total = {}, 0
+    for seen, (i, _, x) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))):
+        want[i] = total, seen
+        total += x or 0
+    assert got == want
+    assert numbered(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_a_key_below_the_share_is_dealt_by_its_rows(spark):
+    """Ten keys of 300 rows: none has a tenth of all rows, but each has three times what a task takes."""
+    rows = [(i, f"k{i % 10}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "case_id long, key string")
+    lookup = df.groupBy("key").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = skew.attach_by_key(df, lookup, "key", "n", "case_id", heavy_share=2, task_rows=100)
+        per_task = out.groupBy("key", F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(r["count"] for r in per_task) == 3000 and {r["n"] for r in out.collect()} == {300}
+    assert sum(r["count"] > 250 for r in per_task) <= 2         # salts may share a task by chance
