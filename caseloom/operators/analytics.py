@@ -263,7 +263,7 @@ def expected_measures(selection: DataFrame, cases: DataFrame, by: str) -> DataFr
     """Expected rate and gap in points of a selection, from the rates of all cases."""
     cells = group_cells(selection, [by], "product", "relief")
     totals = stratum_totals(cases, "product", "relief")
-    joined = cells.join(totals, F.col("product") == F.col("_stratum"))
+    joined = cells.join(totals, F.col("product").eqNullSafe(F.col("_stratum")))   # a null product is a stratum
     return standardize_cells(joined, [by], "national").select(
         by, F.col("n").alias("cases"), F.col("rate").alias("relief_rate"),
         F.col("expected").alias("expected_rate"), (F.col("gap") * 100).alias("gap_pts"),

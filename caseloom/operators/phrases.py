@@ -1,20 +1,30 @@
 """Phrases that go with better or worse outcomes than the product mix predicts."""
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from caseloom import settings as S
 from caseloom.functions import text as X
 from caseloom.functions.numbers import ratio
+from caseloom.operators.skew import broadcast_if_small
 from caseloom.operators.standardize import baseline_rate, expected_rate, stratum_totals
+from caseloom.plans.lineage import cut
 
+BROADCAST_PHRASES = 1_000_000
 
-def phrase_cells(df: DataFrame, stop=(), text: str = "narrative_clean") -> DataFrame:
-    """Cases, relief cases and copied cases per (phrase, product, company). A phrase counts
-    once per case. Counting combines map-side, so a phrase found everywhere is no hot key."""
-    words = df.select("product", "company", "relief", "is_duplicate_text",
-                      X.tokens(F.col(text), stop).alias("_words"))
-    used = words.select("product", "company", "relief", "is_duplicate_text",
-                        F.explode(F.array_distinct(X.ngrams(F.col("_words")))).alias("phrase"))
-    return used.groupBy("phrase", "product", "company").agg(
+
+def case_phrases(df: DataFrame, stop=(), text: str = "narrative_clean") -> DataFrame:
+    """One row a case with its distinct phrases, written: texts are taken apart once."""
+    words = df.select("product", "company", "relief", "is_duplicate_text", X.tokens(F.col(text), stop).alias("_words"))
+    return cut(words.select("product", "company", "relief", "is_duplicate_text",
+                            F.array_distinct(X.ngrams(F.col("_words"))).alias("phrases")))
+
+
+def phrase_cells(cases: DataFrame, min_docs: int) -> DataFrame:
+    """Cases, relief cases and copied cases per (phrase, product, company) of the phrases that `min_docs` cases use or
+    more. A phrase counts once per case. Cases are counted by phrase alone first, so rare phrases, which
+    are most, never become cells. Counting combines map-side, so a phrase found everywhere is no hot key."""
+    used = cases.select("product", "company", "relief", "is_duplicate_text", F.explode("phrases").alias("phrase"))
+    frequent = cut(used.groupBy("phrase").agg(F.count("*").alias("_cases")).where(F.col("_cases") >= min_docs).select("phrase"))
+    return used.join(broadcast_if_small(frequent, BROADCAST_PHRASES), "phrase", "left_semi").groupBy("phrase", "product", "company").agg(
         F.count("*").alias("n"), F.sum("relief").alias("hits"), F.sum("is_duplicate_text").alias("copied"))
 
 
@@ -23,18 +33,15 @@ def phrase_gaps(df: DataFrame, min_docs: int = 400, stop=(), max_company: float
     """Rate, expected rate and gap of every phrase used in `min_docs` cases or more.
 
     Left out: phrases that mostly come from one company or from copied texts, vague words. The
-    text is read and taken apart once: one set of cells gives the sums by product and by
-    company, and rare phrases go before anything is joined."""
-    cells = phrase_cells(df, stop)
+    text is read and taken apart once: one set of cells gives the sums by product and by company."""
+    cells = phrase_cells(case_phrases(df, stop), min_docs)
     both = cells.groupingSets([["phrase", "product"], ["phrase", "company"]], "phrase", "product", "company").agg(
         F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("copied").alias("copied"),
         (F.grouping("company") == 1).alias("by_product"),
     )
     by_product = F.col("by_product")
-    uses = F.sum(F.when(by_product, F.col("n"))).over(Window.partitionBy("phrase"))
-    frequent = both.withColumn("uses", uses).where(F.col("uses") >= min_docs).drop("uses")
     totals = stratum_totals(df, "product", "relief")
-    based = frequent.join(totals, F.col("product").eqNullSafe(F.col("_stratum")), "left").withColumn(
+    based = both.join(totals, F.col("product").eqNullSafe(F.col("_stratum")), "left").withColumn(
         "base", F.when(by_product, baseline_rate("fallback")))
     n = F.sum(F.when(by_product, F.col("n")))
     hits = F.sum(F.when(by_product, F.col("hits")))

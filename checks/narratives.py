@@ -124,7 +124,24 @@ def stems(spark, sf):
     return words.select("word", X.stem(F.col("word")).alias("stem"))
 
 
-@query("t13_phrase_picks")
+PICKS = PHRASES.replace("WITH base", "WITH RECURSIVE base", 1) + f""",
+ranked AS (
+  SELECT 'more relief than expected' AS direction, phrase, row_number() OVER (ORDER BY gap_pts DESC, phrase) AS place FROM gaps UNION ALL
+  SELECT 'less relief than expected', phrase, row_number() OVER (ORDER BY gap_pts, phrase) FROM gaps),
+stemmed AS (
+  SELECT direction, place, phrase, list(DISTINCT {_stem('word')}) AS stems
+  FROM (SELECT *, unnest(string_split(phrase, ' ')) AS word FROM ranked) GROUP BY ALL),
+walk AS (
+  SELECT DISTINCT direction, CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS picks FROM ranked
+  UNION ALL
+  SELECT w.direction, s.place, CASE WHEN list_has_any(w.used, s.stems) THEN w.used ELSE w.used || s.stems END,
+         CASE WHEN list_has_any(w.used, s.stems) THEN w.picks ELSE list_append(w.picks, s.phrase) END
+  FROM walk w JOIN stemmed s ON s.direction = w.direction AND s.place = w.step + 1 WHERE len(w.picks) < 12),
+picked AS (SELECT direction, unnest(picks) AS phrase FROM (SELECT direction, last(picks ORDER BY step) AS picks FROM walk GROUP BY direction))
+SELECT gaps.*, direction FROM picked JOIN gaps USING (phrase)"""
+
+
+@query("t13_phrase_picks", PICKS)
 def phrase_picks(spark, sf):
     return phrases.phrase_table(cut(gaps(spark, sf)), 12)
 
@@ -196,6 +213,19 @@ def strongest(spark, sf):
     return excerpts.strongest(themed(spark, sf)).select("theme", "place", "case_id", "theme_strength")
 
 
-@query("t16_excerpts")
+@query("t16_excerpts", STRONG.replace("WITH base", "WITH RECURSIVE base", 1) + r""",
+shown AS (
+  SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS words, row_number() OVER (PARTITION BY product ORDER BY place) AS ord
+  FROM (SELECT case_id, product, place, company_response, regexp_replace(trim(regexp_replace(narrative, '\s+', ' ', 'g')), '\{\$([\d,\.]+)\}', '$\1', 'g') AS text
+        FROM strong WHERE place <= 300) WHERE length(text) <= 520),
+walk AS (
+  SELECT DISTINCT product, CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[][]) AS kept, CAST([] AS BIGINT[]) AS ids FROM shown
+  UNION ALL
+  SELECT product, ord, CASE WHEN alike THEN kept ELSE list_append(kept, words) END, CASE WHEN alike THEN ids ELSE list_append(ids, case_id) END
+  FROM (SELECT w.product, s.ord, w.kept, w.ids, s.words, s.case_id, len(list_filter(w.kept,
+               lambda k: 2 * len(list_intersect(k, s.words)) > len(list_distinct(k || s.words)))) > 0 AS alike
+        FROM walk w JOIN shown s ON s.product = w.product AND s.ord = w.step + 1 WHERE len(w.ids) < 2)),
+picked AS (SELECT product AS theme, unnest(ids) AS case_id FROM (SELECT product, last(ids ORDER BY step) AS ids FROM walk GROUP BY product))
+SELECT theme, case_id, product, company_response AS outcome, text FROM picked JOIN shown USING (case_id)""")
 def excerpt_picks(spark, sf):
     return excerpts.pick_excerpts(themed(spark, sf))

@@ -91,12 +91,11 @@ def dim_company(spark, sf):
 def brand_terms(spark, sf):
     """Stand-in topic table: one topic per (brand, type), the type as its terms."""
     pairs = spark.read.parquet(f"{sf}/part.parquet").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("topic_id"))
-    return pairs.where("p_brand <> 'Brand#7'").selectExpr("topic_id", "p_brand AS theme", "p_type AS top_terms")
+    return pairs.selectExpr("topic_id", "p_brand AS theme", "p_type AS top_terms")
 
 
 @query("b2_dim_theme", CASES + """,
-firsts AS (SELECT p_brand AS theme, arg_min(p_type, p_partkey) AS top_terms FROM part
-           WHERE p_brand <> 'Brand#7' GROUP BY p_brand)
+firsts AS (SELECT p_brand AS theme, arg_min(p_type, p_partkey) AS top_terms FROM part GROUP BY p_brand)
 SELECT CAST(row_number() OVER (ORDER BY theme) AS INT) AS theme_id, theme, coalesce(top_terms, '') AS top_terms
 FROM (SELECT DISTINCT theme FROM cases) LEFT JOIN firsts USING (theme)""")
 def dim_theme(spark, sf):
