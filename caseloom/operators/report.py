@@ -4,7 +4,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom import settings as S
+from caseloom.operators import ranking
+from caseloom.operators.analytics import companies_in_group
 from caseloom.operators.metrics import first_threshold, top_confusions
+from caseloom.sources import sinks
 
 
 def theme_gaps(themes: DataFrame) -> DataFrame:
@@ -88,3 +91,70 @@ def routing_section(report: DataFrame, curve: DataFrame, shares: DataFrame, targ
         rows(first_threshold(curve, target), "target", step, {"coverage": c("coverage"), "accuracy": c("accuracy")}),
         rows(top_confusions(shares, k), "confusion", F.concat("actual", F.lit(" > "), "predicted"), {"share": c("share")}),
     ])
+
+
+def description(df: DataFrame, theme_terms: DataFrame, month: str = "month", window=S.COMPLETE_MONTHS, source: str = "",
+                geo=S.GEO_LABELS, signals=tuple(S.SIGNAL_LABELS.values()), tones=S.TONE_LABELS, terms: int = 6) -> list[DataFrame]:
+    """Parts of the report document (section, json) on what the cases are: `meta` (cases, dates, window, source), `dims` (the
+    values of every dimension in the order of the packed columns, and labels) and `theme_terms` (first terms of
+    each theme; `theme_terms` has theme, top_terms)."""
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd")
+    constant = df.sparkSession.range(1)
+    known = ranking.ordered_categories(df, "theme", S.UNCLASSIFIED)
+    first = F.array_join(F.slice(F.split(F.coalesce("top_terms", F.lit("")), ", "), 1, terms), ", ")
+    listed = lambda values: F.first(F.array(*[F.lit(v) for v in values]))
+    return [
+        sinks.json_value("meta.n", df, F.count("*")),
+        sinks.json_value("meta.date_min", df, shown(F.min("date_received"))),
+        sinks.json_value("meta.date_max", df, shown(F.max("date_received"))),
+        sinks.json_value("meta.complete_months", constant, listed(window)),
+        sinks.json_value("meta.source", constant, F.first(F.lit(source))),
+        sinks.json_list("dims.product", ranking.ordered_categories(df, "product"), "product", "place"),
+        sinks.json_list("dims.theme", known, "theme", "place"),
+        sinks.json_list("dims.company", ranking.ordered_categories(df, "company_group", S.OTHER_COMPANIES), "company_group", "place"),
+        sinks.json_list("dims.month", df.select(month).distinct(), month, month),
+        sinks.json_value("dims.other_company_count", companies_in_group(df), F.max("companies")),
+        *[sinks.json_value(f"dims.{name}", constant, listed(values)) for name, values in (("geo", geo), ("signal", signals), ("tone", tones))],
+        sinks.json_map("theme_terms", known.join(theme_terms.select("theme", "top_terms"), "theme", "left").withColumn("first", first), "theme", "first"),
+    ]
+
+
+def model_parts(section: DataFrame, comparison: DataFrame, deciles: DataFrame, phrases: DataFrame) -> list[DataFrame]:
+    """Parts of the report document on the models: `models.routing` from the routing section, `models.relief` from the model
+    comparison, the deciles and the phrases of both directions."""
+    c = F.col
+    of = lambda part: section.where(c("part") == part)
+    wide = lambda part, key, measures: of(part).groupBy(c("item").alias(key)).agg(
+        *[F.max(F.when(c("measure") == m, c("value"))).alias(m) for m in measures])
+    single = [sinks.json_value(f"models.routing.{m}", of("summary").where(c("measure") == m), F.max("value")) for m in ("accuracy", "macro_f1", "n_test")]
+    pairs = of("confusion").select(F.split("item", " > ").alias("p"), "value").select(
+        F.element_at("p", 1).alias("actual"), F.element_at("p", 2).alias("predicted"), c("value").alias("share"))
+    sides = [sinks.json_section(f"models.relief.phrases_{name}", phrases.where(c("direction").startswith(start)).select("phrase", "cases", "relief_rate", "gap_pts"), ["phrase"])
+             for name, start in (("up", "more"), ("down", "less"))]
+    return [
+        *single,
+        sinks.json_section("models.routing.per_class", wide("class", "product", ("precision", "recall", "f1", "support")), ["product"]),
+        sinks.json_section("models.routing.automation", wide("curve", "threshold", ("coverage", "accuracy")), ["threshold"]),
+        sinks.json_section("models.routing.at_target", wide("target", "threshold", ("coverage", "accuracy")), ["threshold"]),
+        sinks.json_section("models.routing.confusions", pairs, ["actual", "predicted"]),
+        sinks.json_section("models.relief.comparison", comparison, ["model"]),
+        sinks.json_section("models.relief.deciles", deciles, ["decile"]),
+        *sides,
+    ]
+
+
+def headlines_of(companies: DataFrame, themes: DataFrame, signals: DataFrame, tones: DataFrame, curve: DataFrame, models: DataFrame,
+                 target: float = 0.95) -> DataFrame:
+    """Headlines on the extremes: the companies and themes with the most and the least relief, the signal with the largest
+    gap, the model with the best capture. Ties go by name. The tables have a row per group."""
+    def top(table: DataFrame, name: str, by, most: bool = True):
+        found = table.where(F.col(name).isNotNull()).orderBy(by.desc_nulls_last() if most else by.asc_nulls_last(), name).select(name).first()
+        return found[0] if found else ""
+
+    gap, pct = F.col("relief_rate") - F.col("expected_rate"), F.col("relief_rate_pct")
+    named = companies.where(F.col("company") != S.OTHER_COMPANIES)
+    known = themes.where(F.col("theme") != S.UNCLASSIFIED)
+    return headlines(
+        companies, themes, signals, tones, curve, models, top(named, "company", pct), top(named, "company", pct, False),
+        top(known, "theme", gap), top(known, "theme", gap, False), top(signals, "signal", F.col("mix_adjusted_gap_pts")),
+        top(models, "model", F.col("capture_top20")), target)

@@ -40,6 +40,7 @@ class Options:
     folds: int = 5
     seed: int = 42
     target: float = 0.95
+    source: str = ""                         # of the cases, as the report names it
 
     def table(self, name: str) -> str:
         return f"{self.out}/tables/{name}"
@@ -63,8 +64,16 @@ def clean_job(raw: DataFrame, o: Options) -> DataFrame:
     return raw.sparkSession.read.parquet(f"{o.out}/cases")
 
 
+def register(out: str, spark: SparkSession) -> None:
+    """Temporary views of what a finished run has written, for plain SQL: cases, text_features, model_scores, cube, and the
+    star's fact_cases, dim_product, dim_theme, dim_company, dim_date."""
+    for path in ("cases", "text_features", "model_scores", "cube", *[f"star/{t}" for t in ("fact_cases", "dim_product", "dim_theme", "dim_company", "dim_date")]):
+        spark.read.parquet(f"{out}/{path}").createOrReplaceTempView(path.split("/")[-1])
+
+
 def analysis_job(cases: DataFrame, o: Options) -> dict[str, DataFrame]:
-    """The eight descriptive analyses."""
+    """The eight descriptive analyses. Narratives take no part: the view `cases` answers plain SQL too."""
+    cases.createOrReplaceTempView("cases")
     results = {
         "kpis": A.kpis(cases),
         "product_rates": A.product_rates(cases),
@@ -184,8 +193,12 @@ def export_job(cases: DataFrame, text: DataFrame, scores: DataFrame, results: di
         "routing": (saved["routing"], ["part", "item", "measure"]),
         "excerpts": (saved["excerpts"], ["theme", "case_id"]),
         "other_companies": (saved["other_companies"], ["companies"]),
-    })
+    }, *R.description(full, results["topic_terms"].groupBy("theme").agg(F.min_by("top_terms", "topic_id").alias("top_terms")), source=o.source),
+        *R.model_parts(saved["routing"], results["model_comparison"], results["relief_deciles"], results["phrase_gaps"]))
     sinks.write_json(document, f"{o.out}/report")
+    facts = R.headlines_of(results["company_benchmark"], results["theme_summary"], results["language_signals"], results["sentiment_vs_relief"],
+                           results["routing_automation"], results["model_comparison"], o.target)
+    sinks.write_result(facts, f"{o.out}/headlines")
 
 
 def run_all(raw: DataFrame, lexicon: DataFrame, o: Options) -> None:

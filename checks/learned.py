@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import copies, features, metrics as M, models, ranking, splits, topics, vocabulary as V
 from caseloom.plans.lineage import cut
-from checks.adapters import TEXTS, cases_text, stored_text
+from checks.adapters import CASES, PRODUCTS, TEXTS, cases_rel, cases_text
 from checks.analytics import TEXT_SIGNALS, TEXT_SIGNALS_SQL
 from checks.evaluation import HOLDOUT
 from checks.narratives import STOP
@@ -13,20 +13,17 @@ SEEDS = [
     ("French", ["et", "elle", "des"]), ("German", ["der", "die", "und"]),
     ("Spanish", ["los", "del", "el"]), ("English", ["are", "by", "from"]),
 ]
-_fits = {}
 
 
 def topic_fit(spark, sf):
-    """Fit once per session and folder: (cases, vectors of all cases, model)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _fits:
-        df = stored_text(spark, sf).select("case_id", "text_group", "narrative_clean", "narrative_words")
-        unique = copies.first_per_group(df).where("narrative_words >= 5")
-        counts = V.term_counts(unique, stop=STOP)
-        vocab = cut(V.vocabulary(counts, unique, 10, 0.7, 3000))
-        model = topics.fit_topics(V.case_vectors(V.tfidf(counts, vocab)), vocab, SEEDS, max_iter=40, tol=1e-4)
-        _fits[key] = (df, V.case_vectors(V.tfidf(V.term_counts(df, stop=STOP), vocab)), model)
-    return _fits[key]
+    """(cases, vectors of all cases, model), fitted to the different texts of five words or more."""
+    df = cases_text(spark, sf)
+    terms = V.term_table(df, stop=STOP, carry=("text_group", "narrative_words"))
+    unique = cut(copies.first_per_group(terms).where("narrative_words >= 5"))
+    counts = V.counts_of(unique)
+    vocab = cut(V.vocabulary(counts, unique, 10, 0.7, 30_000))
+    model = topics.fit_topics(V.case_vectors(V.tfidf(counts, vocab)), vocab, SEEDS)
+    return terms, V.case_vectors(V.tfidf(V.counts_of(terms), vocab)), model
 
 
 @query("t7_topics")
@@ -50,6 +47,63 @@ def assignments(spark, sf):
     return model.assign(df, vectors)
 
 
+# ---- topics whose optimum is known: one word list for each kind of part -----------------------
+ENDINGS = ("ax", "bo", "cu", "di", "en", "fa")
+KINDS = sorted(PRODUCTS)
+KIND_SEEDS = [(f"{k} parts", [k.lower() + e for e in ENDINGS[:2]]) for k in KINDS]
+# The cases of a kind are multiples of one unit vector v, so its topic is v / w and each case has the weight w, the
+# mean of v over the anchors that the topic starts from.
+KIND_TOPICS = CASES + f""",
+kinds AS (SELECT product_full AS kind, count(*) AS df, sum(count(*)) OVER () AS n FROM cases GROUP BY product_full),
+raws AS (
+  SELECT CAST(list_position({KINDS}, kind) - 1 AS INT) AS topic_id, kind, i, lower(kind) || ({list(ENDINGS)})[i] AS term,
+         (1 + ln(1 + (i - 1) % 3)) * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS raw
+  FROM kinds, range(1, {len(ENDINGS)} + 1) r(i)),
+units AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY kind)) AS v FROM raws),
+topics AS (SELECT *, v / w AS weight FROM (SELECT *, sum(v) FILTER (WHERE i <= 2) OVER (PARTITION BY kind) / 2 AS w FROM units)),
+seeds AS (SELECT topic_id, kind || ' parts' AS theme, string_agg(term, ', ' ORDER BY i) FILTER (WHERE i <= 2) AS seed_terms,
+                 string_agg(term, ', ' ORDER BY round(weight, 9) DESC, term) AS top_terms FROM topics GROUP BY ALL)"""
+
+
+def kind_fit(spark, sf):
+    words = [F.concat(F.lower("product_full"), F.lit(e)) for i, e in enumerate(ENDINGS) for _ in range(1 + i % 3)]
+    df = cut(cases_rel(spark, sf, "p").select("case_id", F.concat_ws(" ", F.lit("all"), *words).alias("narrative_clean")))
+    terms = V.term_table(df, n=1)
+    counts = V.counts_of(terms)
+    vocab = cut(V.vocabulary(counts, terms, 1, 0.7, 1000))
+    vectors = cut(V.case_vectors(V.tfidf(counts, vocab)))
+    model = topics.fit_topics(vectors, vocab, KIND_SEEDS)
+    if not model.converged:
+        raise RuntimeError("Topics of separate word lists have not come to rest")
+    return df, vectors, model
+
+
+@query("t7_kind_topics", KIND_TOPICS + " SELECT topic_id, term, round(weight, 6) AS weight FROM topics")
+def kind_topics(spark, sf):
+    return kind_fit(spark, sf)[2].components().withColumn("weight", F.round("weight", 6))
+
+
+@query("t8_kind_drift", KIND_TOPICS + """
+SELECT topic_id, theme, CAST(2 AS BIGINT) AS anchors, CAST(2 AS BIGINT) AS kept, false AS drifted FROM seeds""")
+def kind_drift(spark, sf):
+    return kind_fit(spark, sf)[2].drift()
+
+
+@query("t9_kind_terms", KIND_TOPICS + " SELECT topic_id, theme, seed_terms, top_terms FROM seeds")
+def kind_terms(spark, sf):
+    model = kind_fit(spark, sf)[2]
+    model.H = model.H.round(9)      # equal weights are equal to the last digit
+    return model.top_terms()
+
+
+@query("t10_kind_assignments", KIND_TOPICS + """
+SELECT case_id, topic_id, seeds.theme, round(w, 4) AS theme_strength FROM cases
+JOIN (SELECT DISTINCT kind, topic_id, w FROM topics) ON kind = product_full JOIN seeds USING (topic_id)""")
+def kind_assignments(spark, sf):
+    df, vectors, model = kind_fit(spark, sf)
+    return model.assign(df, vectors)
+
+
 # ---- models --------------------------------------------------------------------------------
 CATEGORIES = ("product", "company_model", "sub_product", "sub_issue", "state")
 NUMBERS = (*TEXT_SIGNALS, "log_words")

@@ -304,3 +304,58 @@ def report_json(spark, sf):
         "automation": (QE.automation_curve(spark, sf), ["threshold"]),
         "routing": (QE.class_report(spark, sf), ["label"]),
     })
+
+
+DOCUMENT = """products array<struct<product:string,cases:bigint>>, meta struct<n:bigint,date_min:string,date_max:string,complete_months:array<string>>,
+ dims struct<product:array<string>,theme:array<string>,company:array<string>,month:array<string>,other_company_count:bigint,geo:array<string>>,
+ theme_terms map<string,string>, models struct<routing:struct<accuracy:double,macro_f1:double,n_test:double,
+ per_class:array<struct<product:string,support:double>>>, relief:struct<deciles:array<struct<decile:int,cases:bigint>>>>"""
+
+
+def _listed(name: str, table: str, value: str, order: str) -> str:
+    return f"SELECT 'dims.{name}', CAST(row_number() OVER (ORDER BY {order}) - 1 AS VARCHAR), {value} FROM {table} GROUP BY {value}"
+
+
+@query("s8_parsed_document", SCORED + QE.REPORT + QE.DECILED + QE.DECILES + f""",
+firsts AS (SELECT p_brand AS theme, arg_min(p_type, p_partkey) AS top_terms FROM part GROUP BY p_brand)
+SELECT 'products' AS section, product AS item, CAST(count(*) AS VARCHAR) AS value FROM cases GROUP BY product
+UNION ALL SELECT 'meta', 'n', CAST(count(*) AS VARCHAR) FROM cases
+UNION ALL SELECT 'meta', 'date_min', strftime(min(date_received), '%Y-%m-%d') FROM cases
+UNION ALL SELECT 'meta', 'date_max', strftime(max(date_received), '%Y-%m-%d') FROM cases
+UNION ALL SELECT 'meta', 'complete_months', '2019-01 2019-10'
+UNION ALL {_listed('product', 'cases', 'product', 'count(*) DESC, product')}
+UNION ALL {_listed('theme', 'cases', 'theme', 'count(*) DESC, theme')}
+UNION ALL {_listed('company', 'cases', 'company_group', "company_group = 'All other companies', count(*) DESC, company_group")}
+UNION ALL {_listed('month', 'cases', 'month', 'month')}
+UNION ALL SELECT 'dims', 'other_company_count', CAST(count(DISTINCT company) AS VARCHAR) FROM cases WHERE company_group = 'All other companies'
+UNION ALL SELECT 'theme_terms', theme, top_terms FROM firsts WHERE theme IN (SELECT theme FROM cases)
+UNION ALL SELECT 'models.routing', 'accuracy', CAST(CAST(round(1e6 * precision) AS BIGINT) AS VARCHAR) FROM report WHERE label = 'accuracy'
+UNION ALL SELECT 'models.routing', 'macro_f1', CAST(CAST(round(1e6 * f1) AS BIGINT) AS VARCHAR) FROM report WHERE label = 'macro avg'
+UNION ALL SELECT 'models.routing.per_class', label, CAST(CAST(support AS BIGINT) AS VARCHAR) FROM prf
+UNION ALL SELECT 'models.relief.deciles', CAST(decile AS VARCHAR), CAST(cases AS VARCHAR) FROM deciles""")
+def parsed_document(spark, sf):
+    """The report document, parsed again."""
+    df = cut(with_company_group(cases_rel(spark, sf, "op")))
+    firsts = brand_terms(spark, sf).groupBy("theme").agg(F.min_by("top_terms", "topic_id").alias("top_terms"))
+    none = spark.createDataFrame([], "direction string, phrase string, cases long, relief_rate double, gap_pts double")
+    document = sinks.report_json(
+        {"products": (QA.product_rates(spark, sf), ["product"])}, *R.description(df, firsts),
+        *R.model_parts(routing_section(spark, sf), QE.model_row(spark, sf), QE.decile_table(spark, sf), none))
+    d = document.select(F.from_json("value", DOCUMENT).alias("d"))
+    at, text = (lambda *c: F.struct(*[x.cast("string").alias(n) for n, x in zip(("section", "item", "value"), c)])), F.lit
+    each = lambda name, array, item, value: F.transform(array, lambda x: at(text(name), item(x), value(x)))
+    names = lambda name: F.transform(F.col(f"d.dims.{name}"), lambda x, i: at(text(f"dims.{name}"), i, x))
+    millionths = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    rows = F.concat(
+        each("products", F.col("d.products"), lambda x: x["product"], lambda x: x["cases"]),
+        F.array(at(text("meta"), text("n"), F.col("d.meta.n")), at(text("meta"), text("date_min"), F.col("d.meta.date_min")),
+                at(text("meta"), text("date_max"), F.col("d.meta.date_max")),
+                at(text("meta"), text("complete_months"), F.array_join("d.meta.complete_months", " ")),
+                at(text("dims"), text("other_company_count"), F.col("d.dims.other_company_count")),
+                at(text("models.routing"), text("accuracy"), millionths("d.models.routing.accuracy")),
+                at(text("models.routing"), text("macro_f1"), millionths("d.models.routing.macro_f1"))),
+        *[names(n) for n in ("product", "theme", "company", "month")],
+        each("theme_terms", F.map_entries("d.theme_terms"), lambda x: x["key"], lambda x: x["value"]),
+        each("models.routing.per_class", F.col("d.models.routing.per_class"), lambda x: x["product"], lambda x: x["support"].cast("long")),
+        each("models.relief.deciles", F.col("d.models.relief.deciles"), lambda x: x["decile"], lambda x: x["cases"]))
+    return d.select(F.inline(rows))
