@@ -210,10 +210,11 @@ def run_all(raw: DataFrame, lexicon: DataFrame, o: Options) -> None:
 
 
 def main(raw: str, lexicon: str, out: str) -> None:
-    """`raw`: headed CSV (plain or gzip). `lexicon`: headed CSV with token, valence."""
+    """`raw`: headed CSV, plain (read in parallel splits) or gzip. `lexicon`: headed CSV with token, valence."""
     spark = SparkSession.builder.appName("caseloom").getOrCreate()
     words = spark.read.csv(lexicon, header=True, schema="token string, valence double")
-    run_all(C.read_raw_csv(spark, raw), words, Options(out))
+    read = C.read_raw_csv if raw.endswith(".gz") else C.read_quoted_csv      # gzip has no splits
+    run_all(read(spark, raw), words, Options(out))
 
 
 if __name__ == "__main__":

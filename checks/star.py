@@ -266,6 +266,19 @@ def csv_source(spark, sf):
                      F.col("short").alias("product"), "sub_product", "company", "state", "zip3", "tags", "timely")
 
 
+@query("s1_quoted_csv", """
+SELECT doc_id AS case_id, md5(text) AS text, length(text) AS chars, source AS company, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
+def quoted_csv(spark, sf):
+    """Whole texts, line breaks and quotes included, through plain CSV files that are read in parallel splits."""
+    path = new_folder(spark)
+    docs = C.spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    docs.write.option("escape", '"').option("quoteAll", True).csv(path, header=True)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("text", "source", "n_chars")]])
+    df = C.read_quoted_csv(spark, path, schema)
+    return df.select(F.col("doc_id").alias("case_id"), F.md5("text").alias("text"), F.length("text").cast("long").alias("chars"),
+                     F.col("source").alias("company"), "n_chars")
+
+
 @query("s4_table_round_trip", CASES + """
 SELECT case_id, month, product, relief, dup_count FROM cases""")
 def table_round_trip(spark, sf):

@@ -115,3 +115,32 @@ def test_unmapped_label_stops_the_job(spark):
     with pytest.raises(Exception, match="Unmapped label: Lemonade"):
         C.map_labels(raw, "product", "short", S.PRODUCT_LABELS).collect()
     assert C.unmapped_labels(raw, "product", S.PRODUCT_LABELS).collect() == [("Lemonade", 1)]
+
+
+@pytest.mark.parametrize("split", [64, 1000, 10_000_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_csv_in_splits(spark, tmp_path, split, end):
+    """Line breaks, quotes and commas inside quotes, cut anywhere by splits: the rows of a reader that takes a file whole."""
+    rng = random.Random(3)
+    pieces = ["word", 'say "hi"', "a,b", "line\nbreak", '"', '""', "\n\n", "it's", "x" * 90, ""]
+    for part in range(3):
+        with open(tmp_path / f"part{part}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerow([x.name for x in C.RAW_SCHEMA])
+            for i in range(120):
+                text = " ".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 40 if i % 17 == 0 else 4])))
+                out.writerow([part * 1000 + i, "2020-01-02", "Mortgage", "", "i", "", text, "c", "TX", "770XX", "", "2020-01-03", "Closed", "Yes"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = spark.read.text(str(tmp_path))
+        got = C.read_quoted_csv(spark, str(tmp_path))
+        want = C.read_raw_csv(spark, str(tmp_path))
+        if split == 64:
+            assert lines.rdd.getNumPartitions() > 100
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert got.count() == 360
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
