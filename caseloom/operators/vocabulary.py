@@ -29,14 +29,18 @@ def term_counts(df: DataFrame, text: str = "narrative_clean", key: str = "case_i
 def term_table(df: DataFrame, text: str = "narrative_clean", key: str = "case_id", stop=(), n: int = 2,
                carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carried columns, terms) with one row a case and its terms as (term, tf), written: texts are taken apart
-    once, whatever the number of vocabularies and folds that read the table. A case without words has no terms."""
-    words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words")).repartition(key)
-    counted = (
-        words.select(key, *carry, F.explode_outer(X.ngrams(F.col("_words"), n)).alias("term"))
-        .groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
-    )
-    entry = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    return cut(counted.groupBy(key, *carry).agg(F.collect_list(entry).alias("terms")))
+    once, whatever the number of vocabularies and folds that read the table. Equal terms are counted where the case is, as runs
+    of its sorted terms: nothing moves. A case without words has no terms."""
+    def counted(grams: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: (i == 1) | (F.get(grams, i - 1) != F.get(grams, i - 2)))
+        return held(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(grams, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(grams) + 1) - i).cast("long").alias("tf"))))
+
+    held = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  computed once a row
+    grams = F.sort_array(X.ngrams(F.col("_words"), n))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words"))
+    return cut(words.select(key, *carry, F.when(F.size("_words") > 0, held(grams, counted)).otherwise(none).alias("terms")))
 
 
 def counts_of(table: DataFrame, key: str = "case_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -54,7 +58,8 @@ def most_frequent(terms: DataFrame, size: int) -> DataFrame:
     """The `size` terms with the highest total, ties in alphabetical order.
 
     The total of the last term kept is found first, from the number of terms per total, so
-    that only terms at or above it are sorted."""
+    that only terms at or above it are sorted. `terms` is written first, as both steps read it."""
+    terms = cut(terms)
     per_total = running(terms.groupBy("total").agg(F.count("*").alias("n")), [F.desc("total")], {"before": "n"})
     floor = per_total.where(F.col("before") + F.col("n") >= size).agg(F.max("total")).scalar()
     return (
