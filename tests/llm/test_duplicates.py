@@ -57,10 +57,10 @@ def shingles(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def near_by_hand(rows):
+def near_by_hand(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2)
-             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     roots = roots_of(sets, links)
     return sorted((i, len(sets[i]), roots[i], roots[i] == i) for i in sets)
 
@@ -119,9 +119,9 @@ def distance(a, b):
     return row[-1]
 
 
-def lines_by_hand(rows):
+def lines_by_hand(rows, words=4):
     places = [(i, n, normal(x)) for i, t in rows for n, x in enumerate((t or "").split("\n"))]
-    forms = sorted({x for _, _, x in places if len(x.split()) >= 4})
+    forms = sorted({x for _, _, x in places if len(x.split()) >= words})
     prints = {x: bits(x.split()) for x in forms if len(x.split()) >= 8}
     links = [(a, b) for a, b in itertools.combinations(sorted(prints), 2)
              if sum(p != q for p, q in zip(prints[a], prints[b])) <= 3
