@@ -28,12 +28,12 @@ def alike(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * 2 > F.size(F.array_union(a, b))
 
 
-def pick_excerpts(df: DataFrame, per_theme: int = 2, pool: int = 300, max_len: int = 520) -> DataFrame:
+def pick_excerpts(df: DataFrame, per_theme: int = 2, pool: int = 300, max_len: int = 520, texts: DataFrame | None = None) -> DataFrame:
     """Walk each theme from the strongest narrative down and keep `per_theme` short ones that
     aren't near-copies of one already kept. A theme brings `pool` rows at most to the walk; texts are read for
-    those cases alone."""
+    those cases alone, from `texts` (case_id, narrative, product, company_response), or `df` if not given."""
     chosen = cut(strongest(df, pool).drop("theme_strength"))
-    told = df.select("case_id", "narrative", "product", "company_response").join(broadcast_if_small(chosen, BROADCAST_CASES), "case_id")
+    told = (df if texts is None else texts).select("case_id", "narrative", "product", "company_response").join(broadcast_if_small(chosen, BROADCAST_CASES), "case_id")
     shown = told.withColumn("text", X.display_text(F.col("narrative"))).where(F.length("text") <= max_len)
     entry = F.struct(
         "place", "case_id", "product", F.col("company_response").alias("outcome"), "text",

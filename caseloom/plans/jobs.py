@@ -165,7 +165,7 @@ def model_job(cases: DataFrame, o: Options) -> tuple[DataFrame, dict[str, DataFr
 
 def export_job(cases: DataFrame, text: DataFrame, scores: DataFrame, results: dict[str, DataFrame], o: Options) -> None:
     """Star schema, packed columns, filterable cube and the report document."""
-    full = cut(star.enrich(cases, text, scores, bucket()))
+    full = cut(star.enrich(cases.drop("narrative", "narrative_clean"), text, scores, bucket()))     # texts stay where they are
     sinks.write_star(star.star_schema(full, results["topic_terms"]), f"{o.out}/star")
     sinks.write_table(star.packed(full), f"{o.out}/packed")
     sinks.write_table(star.dictionaries(full), f"{o.out}/packed_values")
@@ -178,7 +178,7 @@ def export_job(cases: DataFrame, text: DataFrame, scores: DataFrame, results: di
         "theme_gaps": R.theme_gaps(results["theme_summary"]),
         "language_gaps": R.language_gaps(results["language_signals"], results["sentiment_vs_relief"]),
         "gains": R.gains(results["relief_deciles"]),
-        "excerpts": excerpts.pick_excerpts(full),
+        "excerpts": excerpts.pick_excerpts(full, texts=cases),
         "routing": routing,
         "other_companies": A.companies_in_group(full),
     }, o)

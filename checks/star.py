@@ -46,11 +46,15 @@ SCORE_COLUMNS = ("theme", "sentiment", "tone_units", "h", "score_u", "conf_u", "
                  "route_confidence", "pred")
 
 
-def enriched(spark, sf):
-    """Clean cases, written once, joined with their side tables."""
+def parts(spark, sf):
+    """(clean cases, written once, and the same joined with their side tables)."""
     base = cut(with_company_group(with_copies(scored(spark, sf, "opc"))))
     text, scores = side_tables(base)
-    return star.enrich(base.drop(*SCORE_COLUMNS), text, scores, case_bucket())
+    return base, star.enrich(base.drop(*SCORE_COLUMNS), text, scores, case_bucket())
+
+
+def enriched(spark, sf):
+    return parts(spark, sf)[1]
 
 
 def with_scores(spark, sf, *columns):
@@ -126,7 +130,8 @@ SELECT case_id, strftime(date_received, '%Y-%m-%d') AS date_received, product_id
        CASE WHEN in_holdout = 1 THEN route_confidence END AS route_confidence, route_correct
 FROM enriched JOIN dp USING (product) JOIN dt USING (theme) JOIN dc USING (company)""")
 def fact(spark, sf):
-    tables = star.star_schema(cut(enriched(spark, sf)), brand_terms(spark, sf), _signals)
+    base, full = parts(spark, sf)
+    tables = star.star_schema(full, brand_terms(spark, sf), _signals, base)
     return tables["fact_cases"].withColumn("date_received", F.date_format("date_received", "yyyy-MM-dd"))
 
 
@@ -147,7 +152,8 @@ SELECT case_id,
   CAST({_bits([('(relief_priority_decile - 1)', 0), ('is_duplicate_text', 4), ('older_american', 5), ('servicemember', 6)])} AS INT) AS b4
 FROM enriched JOIN pp USING (product) JOIN tt USING (theme) JOIN cc USING (company_group) JOIN mm USING (month)""")
 def packed(spark, sf):
-    return star.packed(cut(enriched(spark, sf)), _signals)
+    base, full = parts(spark, sf)
+    return star.packed(full, _signals, source=base)
 
 
 # ---- measures -------------------------------------------------------------------------------------------
@@ -302,7 +308,8 @@ SELECT product, company, theme, count(*) AS cases, CAST(sum(relief) AS BIGINT) A
 def star_tables(spark, sf):
     """Write the five tables, read them back, answer a question over the star."""
     path = new_folder(spark)
-    sinks.write_star(star.star_schema(cut(enriched(spark, sf)), brand_terms(spark, sf), _signals), path)
+    base, full = parts(spark, sf)
+    sinks.write_star(star.star_schema(full, brand_terms(spark, sf), _signals, base), path)
     t = lambda name: spark.read.parquet(f"{path}/{name}")
     joined = t("fact_cases").join(t("dim_product"), "product_id").join(t("dim_theme"), "theme_id").join(
         t("dim_company"), "company_id")
