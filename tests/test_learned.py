@@ -131,3 +131,25 @@ def test_a_null_category_is_a_level(spark):
     design = models.fit_design(df, ("product",), ("flag",), 10, min_df=1, max_df=1.0, min_rows=1)
     fields = {r["case_id"]: r["fields"] for r in design.parts(df).collect()}
     assert all(len(x) == 1 for x in fields.values()) and fields[0] != fields[1] == fields[3]
+
+
+def test_term_table_holds_what_term_counts_gives(spark, data):
+    odd = spark.createDataFrame([(900, ""), (901, "one"), (902, "b a b a b")], "case_id long, narrative_clean string")
+    df = data.select("case_id", "narrative_clean").unionByName(odd)
+    table = V.term_table(df)
+    assert table.count() == df.count()
+    got, want = V.counts_of(table), V.term_counts(df)
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_fits_run_to_their_optimum_without_python(data, monkeypatch):
+    router = models.fit_router(data, size=200)
+    out = router.predict(data, "product")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in text for node in ("EvalPython", "MapInPandas", "PythonUDF"))
+    optimum = router.optima[0]
+    assert optimum.left <= models.OPTIMAL and optimum.passes < models.PASSES
+    assert all(abs(n - p) < 0.1 for n, p in zip(optimum.counts, optimum.predicted)) and sum(optimum.counts) == 300
+    monkeypatch.setattr(models, "PASSES", 2)
+    with pytest.raises(RuntimeError, match="gradient"):
+        models.fit_router(data, size=200)
