@@ -151,10 +151,9 @@ def _found(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("cls").alias("own"), F.col("o_cls").alias("other"), apart.alias("apart")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, homes: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough. `homes` is (cls, row) of one row a class."""
-    pairs = written(pairs.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct())
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def sets_of(needed: DataFrame, docs: DataFrame, homes: DataFrame, settings: Settings) -> DataFrame:
+    """(cls, own) of the classes `needed` (cls): the whole shingle set as sorted 64-bit hashes, from one text of the class.
+    `homes` is (cls, row) of one row a class."""
     wanted = homes.join(needed, "cls", "left_semi").select("row", "cls")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,10 +165,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, homes: DataFrame, settings: Set
             keep = [c == w for c, w in zip(cls, batch["cls"])]
             yield pd.DataFrame({"cls": cls, "own": [s.tobytes() for s in own]})[keep]
 
-    sets = written(
+    return written(
         docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(narrow(wanted), "row").select("cls", "text")
         .mapInPandas(shingled, "cls binary, own binary").dropDuplicates(["cls"]))
 
+
+def confirmed(pairs: DataFrame, docs: DataFrame, homes: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough. `homes` is (cls, row) of one row a class."""
+    pairs = written(pairs.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct())
+    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = sets_of(needed, docs, homes, settings)
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -191,20 +197,76 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         root("own") != root("other")).select(*pairs.columns)
 
 
-def leftovers(live: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """(own, other, apart): in each region at the first depth that is not compared in whole, the rows outside its
-    largest component with all rows of other components there. Nothing else in a region can add a link."""
+def families(live: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
+    """(cls, n, s0, s1, root, family) of the rows in regions, at the first depth, that are not compared in whole and hold
+    more than one component. Rows that share such a region are in one family."""
     rooted = (
         live.where(F.col("in_region") > settings.reach + 1).join(narrow(roots), F.col("cls") == F.col("node"), "left")
-        .withColumn("root", F.coalesce("root", "cls")).drop("node", "sorted", "in_region", "tree"))
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = written(
-        sizes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("most"), F.count("*").alias("roots"))
-        .where("roots > 1").drop("roots"))
-    mixed = rooted.join(largest, "key")
-    left = mixed.where("root <> most").drop("most")
-    right = mixed.drop("most").select("key", *[F.col(c).alias(f"o_{c}") for c in ("cls", "n", "s0", "s1", "root")])
-    return _found(left.join(right, "key").where((F.col("root") != F.col("o_root")) & _alike(settings)))
+        .select("key", "cls", "n", "s0", "s1", F.coalesce("root", "cls").alias("root")))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("cls").alias("first"))
+    members = written(rooted.join(mixed.where("least <> most").select("key", "first"), "key").drop("key").distinct())
+    named = components(members.select(F.col("cls").alias("a"), F.col("first").alias("b")))
+    return written(
+        members.drop("first").distinct().join(narrow(named.select(F.col("node").alias("cls"), F.col("root").alias("family"))), "cls"))
+
+
+def differences(rows: DataFrame, centres: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, key): the shingles in which each row of `rows` (cls, family) differs from the centre of its family (family,
+    centre), a key for each shingle and family."""
+    salts = 16   # a family may hold a third of all rows
+    middle = centres.join(sets.withColumnsRenamed({"cls": "centre", "own": "middle"}), "centre").select(
+        "family", "middle", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    both = (
+        rows.select("cls", "family", F.pmod(F.xxhash64("cls"), F.lit(salts)).cast("int").alias("salt")).join(sets, "cls")
+        .join(middle, ["family", "salt"]).select("cls", "family", "own", "middle"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            apart = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(m, np.uint64), assume_unique=True).view(np.int64)
+                     for x, m in zip(batch["own"], batch["middle"])]
+            yield pd.DataFrame({"cls": batch["cls"], "family": batch["family"], "apart": apart})
+
+    return written(
+        both.mapInPandas(run, "cls binary, family binary, apart array<bigint>")
+        .select("cls", "family", F.explode("apart").alias("shingle")).select("cls", F.xxhash64("family", "shingle").alias("key")))
+
+
+def leftovers(live: DataFrame, roots: DataFrame, docs: DataFrame, homes: DataFrame, settings: Settings) -> DataFrame:
+    """(own, other, apart): all pairs of different components that can still link in regions not compared in whole.
+
+    A row x is held as its difference D(x) from the centre of its family, a row of the largest component there. Two rows
+    differ in as many shingles as their differences do, and a link allows t = (100 - percent) / (100 + percent) of both
+    sizes. So linked rows with D(x) + D(y) <= t both link with the centre, which meets every row; all others share
+    (D(x) + D(y) - t) / 2 shingles of their differences, thus one among the first (D(x) - D(y) + t) / 2 + 1 of x and
+    (D(y) - D(x) + t) / 2 + 1 of y in any common order. Rare shingles come first, so rows that were changed in different
+    ways never meet, however many they are."""
+    rows = families(live, roots, settings)
+    sizes = rows.groupBy("family", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("cls"), "cls"))["cls"].alias("cls"))
+    centres = written(sizes.groupBy("family").agg(F.max(F.struct("size", "cls"))["cls"].alias("centre")))
+    far = differences(rows, centres, sets_of(rows.select("cls"), docs, homes, settings))
+    often = far.groupBy("key").agg(F.count("*").alias("rows"))
+    # what a row differs in from any row that it links with: `most` places
+    first = far.join(often, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("rows", "key"))).alias("far")).join(rows, "cls")
+    most = F.expr(f"n * {100 - settings.percent} div {settings.percent}")
+    first = first.withColumn("size", F.size("far")).withColumn("most", most).select(
+        "cls", "n", "s0", "s1", "root", "size", "most", F.posexplode(F.slice("far", 1, F.col("most").cast("int") + 1)).alias("at", "x"))
+    first = written(first.where("x.rows > 1").withColumn("key", F.col("x.key")).drop("x"))
+    held = first.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = held.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    first = written(first.join(main.drop("roots"), "key"))
+    # of two rows, the one that differs less from the centre needs half of `most` places only
+    less = first.where(F.expr("at <= most div 2")).drop("most")
+    more = first.select("key", *[F.col(c).alias(f"o_{c}") for c in ("cls", "n", "s0", "s1", "root", "size", "at", "main")])
+    t = f"(n + o_n) * {100 - settings.percent} div {100 + settings.percent}"
+    meets = (
+        F.expr("(size, cls) <= (o_size, o_cls)") & (F.col("root") != F.col("o_root"))
+        & F.expr(f"2 * at <= size - o_size + {t} and 2 * o_at <= o_size - size + {t}") & _alike(settings))
+    columns = ["cls", "n", "s0", "s1", "o_cls", "o_n", "o_s0", "o_s1"]
+    pairs = less.where("root <> main").join(more, "key").where(meets).select(columns).unionByName(
+        less.where("root = main").join(more.where("o_root <> o_main"), "key").where(meets).select(columns))
+    centre = rows.join(centres, rows["cls"] == centres["centre"], "left_semi").select("family", *[F.col(c).alias(f"o_{c}") for c in ("cls", "n", "s0", "s1", "root")])
+    to_centre = rows.join(narrow(centre), "family").where((F.col("root") != F.col("o_root")) & _alike(settings)).select(columns)
+    return _found(pairs.unionByName(to_centre))
 
 
 def grouped(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +284,7 @@ def grouped(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     links = confirmed(best(1), docs, homes, settings)
     roots = components(links)
     for more in (best(4), near, None):
-        more = leftovers(live, roots, settings) if more is None else more
+        more = leftovers(live, roots, docs, homes, settings) if more is None else more
         pairs = written(_across(more, roots))
         if pairs.isEmpty():
             continue
@@ -237,8 +299,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Texts with equal shingle sets are one class, whatever their number. Classes that share `depth` places of a
     tree are neighbours: in small regions all are compared, in larger ones those next to each other in sorted
     order at the depth that parts the region. Sketches throw out far pairs; the best pairs of each class are
-    confirmed first, then all others between rows not yet connected, and last the rows of a large region outside
-    its main component with all others there. So two sets similar enough that share a region end up connected.
+    confirmed first, then all others between rows not yet connected, and last, in large regions that still hold several
+    components, all rows that share a shingle of those that part them from the rest (`leftovers`). So two sets similar
+    enough that share a region end up connected.
     At 85 % two sets share none of 16 regions with a chance of 2.4e-7, and differ in over 20 of 96 bits with one of 1e-5.
 
     Null and empty texts have no shingles, stay alone and are kept. Equal texts and repeated rows share a

@@ -87,6 +87,33 @@ def test_large_families_lose_no_link(docs):
     assert near(docs(rows), region=8, reach=2) == near_by_hand(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_of_a_family_grow_with_its_rows(docs, monkeypatch, percent):
+    """Copies of one text, each changed in one to five words of its own: most don't link, and few pairs may be met."""
+    found, plain = [], near_dedup.leftovers
+    monkeypatch.setattr(near_dedup, "leftovers", lambda *a: found.append(near_dedup.written(plain(*a))) or found[-1])
+    r = random.Random(3)
+    text = prose(r, 120)
+    rows = [(i, changed(r, text, 1 + i % 5)) for i in range(400)]
+    assert near(docs(rows), region=8, reach=2, percent=percent) == near_by_hand(rows, percent)
+    assert found[0].count() < 4 * len(rows)
+
+
+def test_changes_shared_by_part_of_a_family_are_met(docs):
+    """Two branches of one text that links across them only at a few rows, and rows between them."""
+    r = random.Random(8)
+    text = prose(r, 100).split(" ")
+    other = [w + "q" if i in (10, 40, 70) else w for i, w in enumerate(text)]
+    rows = []
+    for base, n in ((text, 60), (other, 60)):
+        for i in range(n):
+            words = list(base)
+            for at in r.sample(range(100), i % 4):
+                words[at] = other[at] if i % 3 else r.choice(VOCABULARY) + "z"
+            rows.append((len(rows), " ".join(words)))
+    assert near(docs(rows), region=4, reach=1) == near_by_hand(rows)
+
+
 def test_near_duplicates_of_repeated_rows_and_none(docs):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (8, "x")]
     got = near_dedup.near_duplicates(docs(rows)).collect()
