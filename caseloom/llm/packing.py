@@ -1,6 +1,7 @@
 """Packing of examples into sequences: vector bin packing by a dot-product heuristic."""
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 END = 1
 # Texts encoded together.
-TOGETHER = 256
+TOGETHER = 1024
+# Words encoded as one text, and the character between them.
+RUN, MARK = 1000, "\x01"
 # str.split() parts at these, the tokenizer doesn't
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -31,7 +34,8 @@ class Limits:
 class Tokens:
     """Ids of whole texts. The tokenizer drops white space and joins nothing across it, so a word is
     encoded once and looked up after that; `words` of them are remembered at most, by all tasks that a
-    Python worker runs. Words not yet known are encoded together."""
+    Python worker runs. Of these, words not met again since half as many others came are forgotten first. Words not yet
+    known are encoded together, with a mark between them."""
 
     shared: dict[str, "Tokens"] = {}
 
@@ -42,6 +46,9 @@ class Tokens:
 
         self.tokenizer, self.words, self.longest = Tokenizer.from_file(path), words, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -49,18 +56,41 @@ class Tokens:
             cls.shared[path] = cls(path)
         return cls.shared[path]
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of words without MARK, a thousand as one text."""
+        texts = [f" {MARK} ".join(words[i:i + RUN]) + f" {MARK}" for i in range(0, len(words), RUN)]
+        ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, dtype="<u4")
+        raw, out, start = ids.tobytes(), [], 0
+        for end in (np.flatnonzero(ids == self.mark) * 4).tolist():
+            out.append(raw[start:end])
+            start = end + 4
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        plain = [w for w in new if MARK not in w] if self.mark is not None else []
+        found = self.together(plain)
+        if len(found) == len(plain):
+            self.known.update(zip(plain, found))
+            new = [w for w in new if MARK in w] if plain else new
+        self.known.update(zip(new, self.alone(new)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > self.words:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > self.words // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         parts = [[t] if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = list({w for own in parts for w in own if w not in known})
-        known.update(zip(new, self.encoded(new)))
-        out = [b"".join([known[w] for w in own]) for own in parts]
+        new = set().union(*parts).difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
+        self.learn(new)
+        get = known.__getitem__
+        out = [b"".join(map(get, own)) for own in parts]
         for w in new:
             if len(w) > self.longest:
                 del known[w]
