@@ -1,4 +1,5 @@
 """Personal data: patterns, and terms that give away what the patterns find."""
+import math
 import re
 import sys
 import unicodedata
@@ -27,11 +28,11 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 @dataclass(frozen=True)
 class Settings:
     """`letters`: least length of a term. `bits`: a term that leaves fewer bits of an entity's information undisclosed
-    goes: PMI(term, entity) >= IC(entity) - bits. `smooth`: texts without the entity added to those of each term, so
-    that few texts prove little. `sent`: texts with an entity whose lists are broadcast at most."""
+    goes: PMI(term, entity) >= IC(entity) - bits. `chance`: of all terms of the corpus, so many at most may be expected to be
+    that close to an entity by chance. `sent`: texts with an entity whose lists are broadcast at most."""
     letters: int = 3
-    smooth: int = 3
     bits: float = 1.0
+    chance: float = 0.01
     sent: int = 100_000
 
 
@@ -98,9 +99,19 @@ def entity(text: str, kind: str, start: int, end: int) -> str:
     return f"{kind}:{text[start:end].lower() if kind == 'email' else digits(text[start:end])}"
 
 
+def group(text: str, kind: str, start: int, end: int) -> str:
+    """What many entities share and their kind doesn't tell: domain of a mail, issuer of a card, network, area of a phone."""
+    name = entity(text, kind, start, end).partition(":")[2]
+    if kind == "email":
+        return f"email:@{name.rpartition('@')[2]}"
+    if kind == "ip":
+        return "ip:" + ".".join(text[start:end].split(".")[:2]) + "."
+    return f"{kind}:{name[:6] if kind == 'card' else name[:4]}*"
+
+
 def base(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, row, same, spans, entities) of every row: `row` is xxhash64(doc_id, text), `same` is xxhash64(text),
-    `entities` the different values of the spans."""
+    `entities` the different values of the spans, and the groups they belong to."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, row bigint, same bigint, spans {SPANS}, entities array<string>"
 
@@ -110,7 +121,7 @@ def base(docs: DataFrame, settings: Settings) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "row": batch["row"], "same": batch["same"],
                 "spans": [[dict(zip(("kind", "start", "end"), x)) for x in s] for s in found],
-                "entities": [sorted({entity(t, *x) for x in s}) for t, s in zip(batch["text"], found)],
+                "entities": [sorted({name(t, *x) for x in s for name in (entity, group)}) for t, s in zip(batch["text"], found)],
             })
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("same")).mapInPandas(run, schema)
@@ -138,22 +149,30 @@ def counts(docs: DataFrame, copies: DataFrame, held: DataFrame, settings: Settin
 
 
 def revealing(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, terms): the terms that give the entity away, wherever in its texts they stand.
+    """(entity, terms): the terms that give an entity, or the group that it belongs to, away, wherever in its texts they stand.
 
     PMI(term, entity) = IC(entity) - IC(entity | term), and IC(entity | term) is -log2 of the share of the term's
-    different texts, and `smooth` more, that hold the entity. Equal texts count once as evidence."""
-    least = 2.0 ** -settings.bits
-    held = found.where(F.size("entities") > 0).select("same", F.explode("entities").alias("entity")).distinct()
-    # a share of `least` needs so many texts of the entity even if the term stands in no other
-    enough = held.groupBy("entity").agg(F.count("*").alias("of")).where(F.col("of") * (1 - least) >= least * settings.smooth).select("entity")
-    held = written(held.join(narrow(enough), "entity").groupBy("same").agg(F.collect_list("entity").alias("entities")))
+    different texts that hold the entity. Of n texts of a term, k hold an entity that stands in a share q of all texts. By Chernoff's
+    bound, chance alone does that with 2 ** (-n * KL(k / n, q)) at most; times the number of terms of the corpus, that
+    must stay below `chance`. So few texts prove little, without a least number. Equal texts count once as evidence."""
+    held = found.where(F.size("entities") > 0).select("same", "entities").dropDuplicates(["same"])
+    held = written(held)
+    nothing = held.select(F.lit("").alias("entity"), F.array(F.lit("")).alias("terms")).limit(0)
     if held.isEmpty():
-        return held.select(F.lit("").alias("entity"), F.array(F.lit("")).alias("terms")).limit(0)
+        return nothing
     copies = written(found.groupBy("same").agg(F.count("*").alias("n")).where("n > 1"))
     found_in = written(counts(docs, copies, held, settings))
     per_term = found_in.where("entity IS NULL").select(F.col("term").alias("word"), F.col("texts").alias("all"))
-    together = found_in.where(F.col("entity").isNotNull() & (F.col("texts") * (1 - least) >= least * settings.smooth))
-    tells = together.join(per_term, (F.col("term") == F.col("word")) & (F.col("texts") >= (F.col("all") + settings.smooth) * least))
+    texts = found.select("same").distinct().count()
+    q = F.col("of") / texts
+    of = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of"))
+    # bits against chance that a term needs, and what n texts give at most, all of them with the entity
+    needed = math.log2(max(per_term.count(), 1) / settings.chance)
+    together = found_in.where("entity IS NOT NULL").join(of, "entity").where(-F.col("texts") * F.log2(q) >= (1 - 1e-12) * needed)
+    share = F.col("texts") / F.col("all")
+    against = F.col("all") * (share * F.log2(share / q) + F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - q))).otherwise(0.0))
+    tells = together.join(per_term, F.col("term") == F.col("word")).where(
+        (share >= 2.0 ** -settings.bits) & (share > q) & (against >= needed))
     return written(tells.groupBy("entity").agg(F.collect_set("term").alias("terms")))
 
 

@@ -203,7 +203,7 @@ def test_clean_keeps_all_columns_of_clean_rows(spark, docs):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     res = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in res.description]
