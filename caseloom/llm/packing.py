@@ -109,7 +109,7 @@ class Packer:
         self.limits, self.next = limits, first
         self.full = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
         self.waiting: list[tuple] = []                   # key, whole ids, start, quiet
-        self.demand = np.zeros((limits.window + 1, 3))
+        self.demand = np.zeros((3, limits.window + 1))
         self.open()
 
     def open(self) -> None:
@@ -137,7 +137,7 @@ class Packer:
             self.next += 1
             example = (key, ids, example[2] + length, quiet)
         if example[2] < len(ids):
-            self.demand[len(self.waiting)] = self.needs(example)
+            self.demand[:, len(self.waiting)] = self.needs(example)
             self.waiting.append(example)
         while len(self.waiting) >= self.limits.window:
             yield self.step()
@@ -146,12 +146,15 @@ class Packer:
         n = len(self.waiting)
         if self.offset and (self.room[0] <= self.limits.slack or self.room[1] < 1):
             self.open()
-        fits = (self.demand[:n] <= self.room).all(axis=1)
-        if fits.any():
-            i = int(np.argmax(np.where(fits, (self.demand[:n] / self.full) @ (self.room / self.full), -1.0)))
-            length = int(self.demand[i, 0])
+        (tokens, segments, loss), room = self.demand[:, :n], self.room
+        fits = (tokens <= room[0]) & (segments <= room[1]) & (loss <= room[2])
+        worth = (room / self.full / self.full) @ self.demand[:, :n]
+        worth[~fits] = -1.0
+        i = int(worth.argmax())
+        if fits[i]:
+            length = int(tokens[i])
         else:
-            i = int(np.argmax(self.demand[:n, 0]))
+            i = int(tokens.argmax())
             length = self.cut(self.waiting[i], self.room)
             if length < 1:  # no room for loss
                 self.open()
@@ -162,9 +165,9 @@ class Packer:
         self.offset += length
         if start + length < len(ids):
             self.waiting[i] = (key, ids, start + length, quiet)
-            self.demand[i] = self.needs(self.waiting[i])
+            self.demand[:, i] = self.needs(self.waiting[i])
         else:
-            self.waiting[i], self.demand[i] = self.waiting[-1], self.demand[n - 1]
+            self.waiting[i], self.demand[:, i] = self.waiting[-1], self.demand[:, n - 1]
             self.waiting.pop()
         return out
 
