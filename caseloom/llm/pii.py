@@ -3,7 +3,7 @@ import math
 import re
 import sys
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +28,10 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 @dataclass(frozen=True)
 class Settings:
     """`letters`: least length of a term. `bits`: a term that leaves fewer bits of an entity's information undisclosed
-    goes: PMI(term, entity) >= IC(entity) - bits. `chance`: of all terms of the corpus, so many at most may be expected to be
-    that close to an entity by chance. `sent`: texts with an entity whose lists are broadcast at most."""
+    goes: PMI(term, entity) >= IC(entity) - bits. It must hold with `smooth` texts without the entity added to those of the
+    term, or against chance: of all terms of the corpus, `chance` at most may be expected to be so close to an entity. `sent`: texts with an entity whose lists are broadcast at most."""
     letters: int = 3
+    smooth: int = 3
     bits: float = 1.0
     chance: float = 0.01
     sent: int = 100_000
@@ -127,23 +128,25 @@ def base(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("same")).mapInPandas(run, schema)
 
 
-def counts(docs: DataFrame, copies: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, term, texts): different texts that hold both, and with a null entity, those that hold the term.
+def counts(docs: DataFrame, copies: DataFrame, held: DataFrame | None, settings: Settings) -> DataFrame:
+    """(entity, term, texts): different texts that hold both, of the texts and entities of `held`; without it, (null, term, texts) of
+    all texts.
 
-    Both come from one pass and one list of words. Each batch is counted in its task, by the number of rows with an equal text
+    Each batch is counted in its task, by the number of rows with an equal text
     (`copies`: same, n); as all rows of a text have the same terms, their sum over n is the number of texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: Counter = Counter()
+            seen: defaultdict = defaultdict(Counter)
             for text, n, entities in zip(batch["text"], batch["n"], batch["entities"]):
                 own = {t for t, _, _ in terms(text, base_spans(text), settings)}
-                seen.update((None, t, n) for t in own)
-                for e in () if entities is None else entities:
-                    seen.update((e, t, n) for t in own)
-            yield pd.DataFrame([(*k, c) for k, c in seen.items()], columns=["entity", "term", "n", "rows"])
-
-    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("same")).join(
-        narrow(copies), "same", "left").join(narrow(held, settings.sent), "same", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"), "entities")
+                for e in (None,) if entities is None else entities:
+                    seen[e, n].update(own)
+            rows = [(e, t, n, k) for (e, n), own in seen.items() for t, k in own.items()]
+            yield pd.DataFrame(rows, columns=["entity", "term", "n", "rows"], dtype=object)
+
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("same"))
+    texts = texts.withColumn("entities", F.lit(None).cast("array<string>")) if held is None else texts.join(narrow(held, settings.sent), "same")
+    texts = texts.join(narrow(copies), "same", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"), "entities")
     by_n = texts.mapInPandas(run, "entity string, term string, n bigint, rows bigint").groupBy("entity", "term", "n").agg(F.sum("rows").alias("rows"))
     return by_n.groupBy("entity", "term").agg(F.sum(F.expr("rows div n")).alias("texts"))
 
@@ -154,25 +157,32 @@ def revealing(found: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
     PMI(term, entity) = IC(entity) - IC(entity | term), and IC(entity | term) is -log2 of the share of the term's
     different texts that hold the entity. Of n texts of a term, k hold an entity that stands in a share q of all texts. By Chernoff's
     bound, chance alone does that with 2 ** (-n * KL(k / n, q)) at most; times the number of terms of the corpus, that
-    must stay below `chance`. So few texts prove little, without a least number. Equal texts count once as evidence."""
-    held = found.where(F.size("entities") > 0).select("same", "entities").dropDuplicates(["same"])
-    held = written(held)
+    must stay below `chance`; or the share holds with `smooth` more texts. So few texts prove little, without a least
+    number. Equal texts count once as evidence."""
+    least = 2.0 ** -settings.bits
+    by_texts = lambda k, n: F.col(k) >= (F.col(n) + settings.smooth) * least
+    held = written(found.where(F.size("entities") > 0).select("same", "entities").dropDuplicates(["same"]))
     nothing = held.select(F.lit("").alias("entity"), F.array(F.lit("")).alias("terms")).limit(0)
     if held.isEmpty():
         return nothing
     copies = written(found.groupBy("same").agg(F.count("*").alias("n")).where("n > 1"))
-    found_in = written(counts(docs, copies, held, settings))
-    per_term = found_in.where("entity IS NULL").select(F.col("term").alias("word"), F.col("texts").alias("all"))
+    per_term = written(counts(docs, copies, None, settings).select(F.col("term").alias("word"), F.col("texts").alias("all")))
     texts = found.select("same").distinct().count()
-    q = F.col("of") / texts
-    of = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of"))
-    # bits against chance that a term needs, and what n texts give at most, all of them with the entity
+    # bits against chance that a term of an entity needs
     needed = math.log2(max(per_term.count(), 1) / settings.chance)
-    together = found_in.where("entity IS NOT NULL").join(of, "entity").where(-F.col("texts") * F.log2(q) >= (1 - 1e-12) * needed)
+    q = F.col("of") / texts
+    each = held.select("same", F.explode("entities").alias("entity"))
+    # what an entity's texts give at most: a term that stands in all of them, and nowhere else
+    by_chance = lambda k: -F.col(k) * F.log2(q) >= (1 - 1e-12) * needed
+    of = written(each.groupBy("entity").agg(F.count("*").alias("of")).where(by_texts("of", "of") | by_chance("of")))
+    held = written(each.join(narrow(of.select("entity")), "entity").groupBy("same").agg(F.collect_list("entity").alias("entities")))
+    if held.isEmpty():
+        return nothing
+    together = counts(docs, copies, held, settings).join(of, "entity").where(by_texts("texts", "texts") | by_chance("texts"))
     share = F.col("texts") / F.col("all")
     against = F.col("all") * (share * F.log2(share / q) + F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - q))).otherwise(0.0))
     tells = together.join(per_term, F.col("term") == F.col("word")).where(
-        (share >= 2.0 ** -settings.bits) & (share > q) & (against >= needed))
+        (share >= least) & (by_texts("texts", "all") | ((share > q) & (against >= needed))))
     return written(tells.groupBy("entity").agg(F.collect_set("term").alias("terms")))
 
 

@@ -31,8 +31,8 @@ def by_hand(rows, settings=pii.Settings()):
     for (e, w), k in both.items():
         n, q = all_[w], of[e] / len(texts)
         s = k / n
-        if s >= 2 ** -settings.bits and s > q:
-            if n * (s * math.log2(s / q) + ((1 - s) * math.log2((1 - s) / (1 - q)) if s < 1 else 0)) >= needed:
+        if s >= 2 ** -settings.bits:
+            if k >= (n + settings.smooth) * 2 ** -settings.bits or s > q and n * (s * math.log2(s / q) + ((1 - s) * math.log2((1 - s) / (1 - q)) if s < 1 else 0)) >= needed:
                 out[e].add(w)
     return out
 
