@@ -63,14 +63,16 @@ def lines(spark: SparkSession, sf: str, tables: str = "opc") -> DataFrame:
     others are null. nation and region have 25 and 5 rows at every scale."""
     t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     df = spread(t("lineitem"), "l_orderkey")
-    if "o" in tables or "c" in tables:
-        df = df.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # parts first and orders with their customers in one, so lineitem moves twice at most, and last by its order
     if "p" in tables:
         df = df.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    orders = t("orders")
     if "c" in tables:
         places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
         homes = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-        df = df.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+        orders = orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+    if "o" in tables or "c" in tables:
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     present = set(tables) | ({"o"} if "c" in tables else set())
     cols = [
         F.expr(e if set(needs) <= present else "CAST(NULL AS STRING)").alias(name)

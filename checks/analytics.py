@@ -192,7 +192,9 @@ SELECT count(*) AS cases, count(DISTINCT company) AS companies,
        strftime(max(date_received), '%Y-%m-%d') AS last_received
 FROM cases""")
 def kpis(spark, sf):
-    return A.kpis(with_copies(cases_rel(spark, sf)))
+    df = cut(cases_rel(spark, sf).select(
+        "company", "relief", "monetary_relief", "timely", "in_region", "in_metro", "date_received", "text_group", "h"))
+    return A.kpis(copies.mark_copies(df, row_id="h"))
 
 
 @query("a2_product_rates", CASES + f"""
@@ -364,8 +366,13 @@ SELECT product, CASE WHEN in_metro = 1 THEN 2 WHEN in_region = 1 THEN 1 ELSE 0 E
        CAST(sum(timely) AS BIGINT) AS timely
 FROM toned GROUP BY ALL""")
 def case_cube(spark, sf):
-    df = tone_bucketed(with_company_group(with_copies(cases_rel(spark, sf))))
-    return A.case_cube(features.geo_code(df), CUBE_DIMS)
+    """The columns of the cube are written once: copies, groups and tone cuts are found on them, not on the joins again. The
+    tone is ranked before the rows move to their copies, which its keys needn't."""
+    df = cut(features.geo_code(cases_rel(spark, sf)).select(
+        "case_id", "product", "geo", "theme", "tone_units", "company", "month", "older_american", "servicemember",
+        "relief", "monetary_relief", "timely", "text_group", "h"))
+    df = with_company_group(tone_bucketed(df)).drop("case_id", "tone_units", "company")
+    return A.case_cube(copies.mark_copies(df, row_id="h"), CUBE_DIMS)
 
 
 @query("a14_cube_totals", CASES + """
