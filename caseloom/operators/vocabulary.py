@@ -13,34 +13,39 @@ def default_stop_words() -> list[str]:
     return sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | set(S.DOMAIN_STOP_WORDS))
 
 
+def counted(grams: Column) -> Column:
+    """Terms of a row as sorted (term, tf): equal ones are counted where the row is, as runs of its sorted terms."""
+    held = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  computed once a row
+
+    def runs(grams: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: (i == 1) | (F.get(grams, i - 1) != F.get(grams, i - 2)))
+        terms = held(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(grams, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(grams) + 1) - i).cast("long").alias("tf"))))
+        return F.when(F.size(grams) > 0, terms).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return held(F.sort_array(grams), runs)
+
+
 def term_counts(df: DataFrame, text: str = "narrative_clean", key: str = "case_id", stop=(), n: int = 2,
                 carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carried columns, term, tf) over 1..n-grams.
 
-    The texts are hashed by key before they are taken apart. They are several times smaller than
-    their n-grams, and counting, norms and vectors per case then need no further exchange."""
-    words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words")).repartition(key)
-    return (
-        words.select(key, *carry, F.explode(X.ngrams(F.col("_words"), n)).alias("term"))
-        .groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
-    )
+    The texts of a key meet before they are taken apart, and its terms are counted in one row: texts are several times
+    smaller than their n-grams, which are neither exchanged nor spilled."""
+    texts = df.select(key, *carry, F.col(text).alias("_text")).where("_text IS NOT NULL").groupBy(key, *carry).agg(
+        F.collect_list("_text").alias("_texts"))
+    words = F.transform("_texts", lambda t: X.tokens(t, stop))
+    grams = F.flatten(F.transform(words, lambda w: X.ngrams(w, n)))
+    return texts.select(key, *carry, counted(grams).alias("terms")).select(key, *carry, F.inline("terms"))
 
 
 def term_table(df: DataFrame, text: str = "narrative_clean", key: str = "case_id", stop=(), n: int = 2,
                carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carried columns, terms) with one row a case and its terms as (term, tf), written: texts are taken apart
-    once, whatever the number of vocabularies and folds that read the table. Equal terms are counted where the case is, as runs
-    of its sorted terms: nothing moves. A case without words has no terms."""
-    def counted(grams: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: (i == 1) | (F.get(grams, i - 1) != F.get(grams, i - 2)))
-        return held(starts, lambda at: F.transform(at, lambda i, k: F.struct(
-            F.get(grams, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(grams) + 1) - i).cast("long").alias("tf"))))
-
-    held = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  computed once a row
-    grams = F.sort_array(X.ngrams(F.col("_words"), n))
-    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    once, whatever the number of vocabularies and folds that read the table. Equal terms are counted where the case is:
+    nothing moves. A case without words has no terms."""
     words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words"))
-    return cut(words.select(key, *carry, F.when(F.size("_words") > 0, held(grams, counted)).otherwise(none).alias("terms")))
+    return cut(words.select(key, *carry, counted(X.ngrams(F.col("_words"), n)).alias("terms")))
 
 
 def counts_of(table: DataFrame, key: str = "case_id", carry: tuple[str, ...] = ()) -> DataFrame:
