@@ -1,6 +1,7 @@
 """Topics and models on planted data."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,32 @@ def test_fits_run_to_their_optimum_without_python(data, monkeypatch):
     monkeypatch.setattr(models, "PASSES", 2)
     with pytest.raises(RuntimeError, match="gradient"):
         models.fit_router(data, size=200)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_sums_of_a_pass_against_whole_matrices(spark, k, monkeypatch):
+    monkeypatch.setattr(models, "ENTRIES", 4)       # rows come in several parts, one of them without entries
+    rows = [(i % max(k, 2), [j for j in range(5) if (i + j) % 3 and i != 4], i) for i in range(9)]
+    df = spark.createDataFrame([(y, at, [1.0 + 0.1 * i + j for j in at]) for y, at, i in rows], "label int, indices array<int>, values array<double>")
+    x = np.zeros((9, 6))
+    x[:, 5] = 1.0
+    for _, at, i in rows:
+        x[i, at] = [1.0 + 0.1 * i + j for j in at]
+    rng = np.random.default_rng(3)
+    w, v, y = rng.normal(size=(k, 6)) / 9, rng.normal(size=(k, 6)), np.array([r[0] for r in rows])
+    m, u = x @ w.T, x @ v.T
+    p = np.exp(m) / np.exp(m).sum(1, keepdims=True) if k > 1 else 1 / (1 + np.exp(-m))
+    hit = y[:, None] == (np.arange(k) if k > 1 else 1)
+    found = models.pass_sums(df, w)
+    assert np.allclose(found["slope"], (p - hit).T @ x) and np.allclose(found["chances"], p.sum(0))
+    assert np.allclose(found["loss"], -np.log(np.where(hit, p, 1 - p if k == 1 else 1.0)).sum())
+    bent = p * (u - (p * u).sum(1, keepdims=True)) if k > 1 else p * (1 - p) * u
+    assert np.allclose(models.pass_sums(df, w, v)["slope"], bent.T @ x)
+
+
+def test_a_fit_of_one_class_foretells_it(spark):
+    df = spark.createDataFrame([(1.0, 0), (1.0, 1)], "label double, at int")
+    data = models.stored_vectors(df.select("label", models.sparse(3, F.array("at"), F.array(F.lit(1.0))).alias("features")))
+    optima = []
+    model = models.fit_regression(data, 1.0, "binomial", optima=optima)
+    assert [r["prediction"] for r in model.transform(data).collect()] == [1.0, 1.0] and optima[0].counts == [0, 2]
