@@ -101,14 +101,13 @@ def text_job(cases: DataFrame, lexicon: DataFrame, o: Options) -> tuple[DataFram
     stop = V.default_stop_words() if o.stop is None else o.stop
     terms = V.term_table(cases, stop=stop, carry=("text_group", "narrative_words"))
     unique = cut(copies.first_per_group(terms).where("narrative_words >= 5"))
-    counts = V.counts_of(unique)
-    vocab = cut(V.vocabulary(counts, unique, o.topic_min_df, o.topic_max_df, o.topic_terms))
-    model = topics.fit_topics(V.case_vectors(V.tfidf(counts, vocab)), vocab, o.seeds, o.topic_passes)
+    vocab = cut(V.vocabulary(unique.select(F.inline("terms")), unique, o.topic_min_df, o.topic_max_df, o.topic_terms))
+    model = topics.fit_topics(V.vectors(unique, vocab), vocab, o.seeds, o.topic_passes)
     for row in model.drift().where("drifted").collect():     # one row per topic
         print(f"Topic {row['topic_id']} ended away from its theme, {row['theme']}: its strongest terms hold "
               f"{row['kept']} of the {row['anchors']} it was started from")
 
-    everything = V.case_vectors(V.tfidf(V.counts_of(terms), vocab))
+    everything = V.vectors(terms, vocab)
     themes = model.assign(cases, everything)
     tones = tone.tone(cases, lexicon, first=o.first_sentences)
     sinks.write_table(themes.join(tones, "case_id"), f"{o.out}/text_features")

@@ -20,10 +20,9 @@ def topic_fit(spark, sf):
     df = cases_text(spark, sf)
     terms = V.term_table(df, stop=STOP, carry=("text_group", "narrative_words"))
     unique = cut(copies.first_per_group(terms).where("narrative_words >= 5"))
-    # a vocabulary counts terms where they are; only a case's vector needs them in one place
     vocab = cut(V.vocabulary(unique.select(F.inline("terms")), unique, 10, 0.7, 30_000))
-    model = topics.fit_topics(V.case_vectors(V.tfidf(V.counts_of(unique), vocab)), vocab, SEEDS)
-    return terms, V.case_vectors(V.tfidf(V.counts_of(terms), vocab)), model
+    model = topics.fit_topics(V.vectors(unique, vocab), vocab, SEEDS)
+    return terms, V.vectors(terms, vocab), model
 
 
 @query("t7_topics")
@@ -70,8 +69,8 @@ def kind_fit(spark, sf):
     df = cut(cases_rel(spark, sf, "p").select("case_id", F.concat_ws(" ", F.lit("all"), *words).alias("narrative_clean")))
     terms = V.term_table(df, n=1)
     vocab = cut(V.vocabulary(terms.select(F.inline("terms")), terms, 1, 0.7, 1000))
-    vectors = cut(V.case_vectors(V.tfidf(V.counts_of(terms), vocab)))
-    model = topics.fit_topics(vectors, vocab, KIND_SEEDS)
+    vectors = cut(V.vectors(terms, vocab))
+    model = topics.fit_topics(vectors, vocab, KIND_SEEDS, written=True)
     if not model.converged:
         raise RuntimeError("Topics of separate word lists have not come to rest")
     return df, vectors, model

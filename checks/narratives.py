@@ -78,8 +78,9 @@ def transform_new_text(spark, sf):
     """Vocabulary from one case per text, applied to all cases."""
     terms = V.term_table(cases_text(spark, sf), stop=STOP, carry=("text_group",))
     unique = copies.first_per_group(terms)
-    vocab = V.vocabulary(V.counts_of(unique), unique, 10, 0.4, 3000)
-    return V.tfidf(V.counts_of(terms), vocab).withColumn("weight", F.round("weight", 9))
+    vocab = V.vocabulary(unique.select(F.inline("terms")), unique, 10, 0.4, 3000)
+    entries = F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("weight"))
+    return V.vectors(terms, vocab).select("case_id", F.inline(entries)).withColumn("weight", F.round("weight", 9))
 
 
 PHRASES = TOKENS + """,

@@ -57,6 +57,18 @@ def test_fit_repeats(data, fitted):
     assert abs(again.H - model.H).max() < 1e-6
 
 
+def test_a_pass_of_topics_exchanges_nothing(spark, fitted, monkeypatch):
+    _, vectors, model = fitted
+    plans, stored = [], cut(vectors)
+    collect = type(stored).collect
+    monkeypatch.setattr(type(stored), "toPandas", lambda df: plans.append(df) or pytest.fail("sums by rows"))
+    monkeypatch.setattr(type(stored), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    A, B = topics.pass_statistics(stored, model.H)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    W = {r["case_id"]: r["weights"] for r in model.weights(stored).collect()}
+    assert np.allclose(A, sum(np.outer(w, w) for w in W.values()))
+
+
 def test_no_known_term_means_unclassified(spark, fitted):
     vocab, _, model = fitted
     odd = spark.createDataFrame([(9, "zebra quagga"), (10, "aworda awordb awordc")], "case_id long, narrative_clean string")
