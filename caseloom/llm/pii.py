@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.llm.tables import narrow, written
@@ -22,6 +23,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 MARKS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
 WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")   # letters with their combining marks
+# Latin-1, which has no combining marks: bytes of letters as WORD has them, all others as blanks.
+LATIN = bytes(b if WORD.fullmatch(chr(b)) else 32 for b in range(256))
+HELD = 200_000      # counts that a task holds before it hands them on
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -85,11 +89,31 @@ def terms(text: str, spans: list[tuple[str, int, int]], settings: Settings) -> l
         # spans that begin before the word's end can follow one that is over; few overlap
         if end - start < settings.letters or any(a < end and start < b for a, b in _from(ends, at, end)):
             continue
-        word = m[0].lower()
-        out.append((word if word.isascii() else unicodedata.normalize("NFC", word), start, end))
+        out.append((_term(m[0]), start, end))
     return out
 
 
+def _term(word: str) -> str:
+    word = word.lower()
+    return word if word.isascii() else unicodedata.normalize("NFC", word)
+
+
+def different_terms(text: str, settings: Settings) -> set[str]:
+    """The different terms of a text, as `terms` has them. A text without spans, as most are, is taken apart by its
+    bytes where Latin-1 has all its characters, and each different word is composed once."""
+    spans = base_spans(text)
+    if spans:
+        return {t for t, _, _ in terms(text, spans, settings)}
+    blanked = lambda t: t.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    if text.isascii():
+        return {w for w in set(blanked(text.lower())) if len(w) >= settings.letters}
+    try:
+        words = set(blanked(text))
+    except UnicodeEncodeError:
+        words = set(WORD.findall(text))
+    return {_term(w) for w in words if len(w) >= settings.letters}
+
+
 def _from(ends: list[tuple[int, int]], at: int, before: int) -> Iterator[tuple[int, int]]:
     while at < len(ends) and ends[at][0] < before:
         yield ends[at]
@@ -132,22 +156,38 @@ def counts(docs: DataFrame, copies: DataFrame, held: DataFrame | None, settings:
     """(entity, term, texts): different texts that hold both, of the texts and entities of `held`; without it, (null, term, texts) of
     all texts.
 
-    Each batch is counted in its task, by the number of rows with an equal text
-    (`copies`: same, n); as all rows of a text have the same terms, their sum over n is the number of texts."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Texts are counted in their task, by the number of rows with an equal text (`copies`: same, n), and counts are handed on
+    when HELD are there; as all rows of a text have the same terms, their sum over n is the number of texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: defaultdict = defaultdict(Counter)
+
+        def told() -> pa.RecordBatch:
+            sizes = [len(own) for own in seen.values()]
+            each = lambda at: [k[at] for k, size in zip(seen, sizes) for _ in range(size)]
+            columns = [each(0), [t for own in seen.values() for t in own], each(1), [k for own in seen.values() for k in own.values()]]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["entity", "term", "n", "rows"])
+
+        held = 0
         for batch in batches:
-            seen: defaultdict = defaultdict(Counter)
-            for text, n, entities in zip(batch["text"], batch["n"], batch["entities"]):
-                own = {t for t, _, _ in terms(text, base_spans(text), settings)}
+            for text, n, entities in zip(*(batch.column(c).to_pylist() for c in ("text", "n", "entities"))):
+                own = different_terms(text, settings)
                 for e in (None,) if entities is None else entities:
-                    seen[e, n].update(own)
-            rows = [(e, t, n, k) for (e, n), own in seen.items() for t, k in own.items()]
-            yield pd.DataFrame(rows, columns=["entity", "term", "n", "rows"], dtype=object)
+                    counter = seen[e, n]
+                    held -= len(counter)
+                    counter.update(own)
+                    held += len(counter)
+                if held >= HELD:
+                    yield told()
+                    seen.clear()
+                    held = 0
+        if held:
+            yield told()
 
     texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("same"))
     texts = texts.withColumn("entities", F.lit(None).cast("array<string>")) if held is None else texts.join(narrow(held, settings.sent), "same")
     texts = texts.join(narrow(copies), "same", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"), "entities")
-    by_n = texts.mapInPandas(run, "entity string, term string, n bigint, rows bigint").groupBy("entity", "term", "n").agg(F.sum("rows").alias("rows"))
+    by_n = texts.mapInArrow(run, "entity string, term string, n bigint, rows bigint").groupBy("entity", "term", "n").agg(F.sum("rows").alias("rows"))
     return by_n.groupBy("entity", "term").agg(F.sum(F.expr("rows div n")).alias("texts"))
 
 
