@@ -237,10 +237,17 @@ UNION ALL (SELECT 'routed automatically', coverage FROM curve WHERE accuracy >=
 UNION ALL (SELECT 'accuracy when routed', accuracy FROM curve WHERE accuracy >= 0.9 ORDER BY threshold LIMIT 1)
 UNION ALL SELECT 'capture in top fifth', capture_top20 FROM lifted""")
 def headlines(spark, sf):
-    companies = A.company_benchmark(with_company_group(cases_rel(spark, sf, "p"), 100))
+    # the cases with their parts are joined and written once, and what the facts need of each table is made once
+    df = cut(scored(spark, sf).select("case_id", "product", "company", "relief", "monetary_relief", "timely", *SIGNALS,
+                                      "tone_units", "sentiment", "route_confidence", "correct"))
+    rates = ("relief_rate", "expected_rate")
     return R.headlines(
-        companies, QA.theme_profile(spark, sf), QA.signal_table(spark, sf),
-        QA.tone_table(spark, sf), QE.automation_curve(spark, sf), QE.model_row(spark, sf),
+        cut(A.company_benchmark(with_company_group(df, 100)).select("company", "relief_rate_pct")),
+        cut(QA.theme_profile(spark, sf).select("theme", *rates)),
+        cut(A.signal_table(df, SIGNALS).select("signal", "mix_adjusted_gap_pts")),
+        cut(A.tone_table(QA.tone_bucketed(df)).select("tone_quintile", *rates)),
+        cut(M.automation_curve(df, "route_confidence", "correct")),
+        cut(QE.model_row(spark, sf).select("model", "capture_top20")),
         "red plate", "hot ring", "Brand#3", "Brand#9", "High tax", "stand-in", 0.9)
 
 
