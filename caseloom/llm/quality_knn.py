@@ -92,22 +92,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
         terms = Terms()
         for batch in batches:
             rows = [terms.counts(t) for t in batch["text"]]
-            at = [np.flatnonzero(r) for r in rows]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": [a.tolist() for a in at],
-                                "n": [r[a].tolist() for r, a in zip(rows, at)]})
+            at = [np.flatnonzero(r).astype(np.int32) for r in rows]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": [a.tobytes() for a in at],
+                                "n": [r[a].tobytes() for r, a in zip(rows, at)]})
 
+    # the driver holds one table of the sample's terms: bytes come, and weights take the places of the counts
     found = (
         label_sample(docs, labels, label, settings.sample)
-        .mapInPandas(count, "doc_id long, label int, at array<int>, n array<float>").toPandas()
+        .mapInPandas(count, "doc_id long, label int, at binary, n binary").toPandas()
         .drop_duplicates("doc_id").sort_values("doc_id")
     )
     if not len(found):
         return None
-    counts = np.zeros((len(found), WORDS + SHAPES), dtype=np.float32)
+    x, holding = np.zeros((len(found), WORDS + SHAPES), dtype=np.float32), np.zeros(WORDS + SHAPES, dtype=np.int64)
     for i, (at, n) in enumerate(zip(found["at"], found["n"])):
-        counts[i, np.asarray(at, dtype=np.int64)] = n
-    idf = np.log((1 + len(found)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x = weighted(counts, idf)
+        at = np.frombuffer(at, dtype=np.int32)
+        x[i, at] = np.frombuffer(n, dtype=np.float32)
+        holding[at] += 1
+    idf = np.log((1 + len(found)) / (1 + holding)).astype(np.float32) + np.float32(0.1)
+    for start in range(0, len(x), BLOCK):
+        x[start:start + BLOCK] = weighted(x[start:start + BLOCK], idf)
     axes = latent(x, settings)
     return Model(idf, axes, unit(x @ axes), found["label"].to_numpy(dtype=np.float64), settings)
 
