@@ -1,4 +1,6 @@
 """Text expressions. All of them work on the whole string of every row."""
+import re
+
 from pyspark.sql import Column, functions as F
 
 from caseloom.settings import STEM_SUFFIXES
@@ -46,6 +48,12 @@ def ngrams(words: Column, n: int = 2) -> Column:
     return F.concat(words, bigrams)
 
 
+def grams_of(clean: str | None, stop: frozenset, n: int = 2) -> list[str]:
+    """What `ngrams` of `tokens` gives for one text, inside a task: interpreted lambdas take several times as long there."""
+    words = [w for w in re.findall(WORD, clean or "") if w not in stop]
+    return words if n == 1 else words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def sentences(text: Column, min_words: int = 3, first: int | None = None) -> Column:
     """Sentences of a raw narrative with at least `min_words` words.
 

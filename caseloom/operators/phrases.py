@@ -1,5 +1,6 @@
 """Phrases that go with better or worse outcomes than the product mix predicts."""
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from caseloom import settings as S
 from caseloom.functions import text as X
@@ -9,22 +10,40 @@ from caseloom.operators.standardize import baseline_rate, expected_rate, stratum
 from caseloom.plans.lineage import cut
 
 BROADCAST_PHRASES = 1_000_000
+TASK_PHRASES = 100_000      # that a task holds before it hands them on
 
 
 def case_phrases(df: DataFrame, stop=(), text: str = "narrative_clean") -> DataFrame:
     """One row a case with its distinct phrases, written: texts are taken apart once."""
-    words = df.select("product", "company", "relief", "is_duplicate_text", X.tokens(F.col(text), stop).alias("_words"))
-    return cut(words.select("product", "company", "relief", "is_duplicate_text",
-                            F.array_distinct(X.ngrams(F.col("_words"))).alias("phrases")))
+    named, left_out = ["product", "company", "relief", "is_duplicate_text"], frozenset(stop)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            low, own, ends = 0, [], [0]
+            for i, clean in enumerate(batch.column("_text"), 1):
+                own += dict.fromkeys(X.grams_of(clean.as_py(), left_out))
+                ends.append(len(own))
+                if i == len(batch) or len(own) >= TASK_PHRASES:
+                    part = batch.slice(low, i - low)
+                    phrases = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own, pa.string()))
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in named], phrases], [*named, "phrases"])
+                    low, own, ends = i, [], [0]
+
+    kept = [StructField(c, df.schema[c].dataType) for c in named]
+    texts = df.select(*named, F.col(text).alias("_text"))
+    return cut(texts.mapInArrow(run, StructType([*kept, StructField("phrases", ArrayType(StringType()))])))
 
 
 def phrase_cells(cases: DataFrame, min_docs: int) -> DataFrame:
-    """Cases, relief cases and copied cases per (phrase, product, company) of the phrases that `min_docs` cases use or
-    more. A phrase counts once per case. Cases are counted by phrase alone first, so rare phrases, which
-    are most, never become cells. Counting combines map-side, so a phrase found everywhere is no hot key."""
-    used = cases.select("product", "company", "relief", "is_duplicate_text", F.explode("phrases").alias("phrase"))
-    frequent = cut(used.groupBy("phrase").agg(F.count("*").alias("_cases")).where(F.col("_cases") >= min_docs).select("phrase"))
-    return used.join(broadcast_if_small(frequent, BROADCAST_PHRASES), "phrase", "left_semi").groupBy("phrase", "product", "company").agg(
+    """Cases, relief cases and copied cases per (phrase, product, company) of all phrases that `min_docs` cases use or
+    more, and of few others: cases are counted by the hash of a phrase first, so most rare phrases never become cells and none is
+    exchanged as text to be counted. A phrase counts once per case. Counting combines map-side, so a phrase found everywhere is no hot key."""
+    used = cases.select("product", "company", "relief", "is_duplicate_text", F.explode("phrases").alias("phrase")).withColumn(
+        "_hash", F.xxhash64("phrase"))
+    frequent = cut(used.groupBy("_hash").agg(F.count("*").alias("_cases")).where(F.col("_cases") >= min_docs).select("_hash"))
+    return used.join(broadcast_if_small(frequent, BROADCAST_PHRASES), "_hash", "left_semi").groupBy("phrase", "product", "company").agg(
         F.count("*").alias("n"), F.sum("relief").alias("hits"), F.sum("is_duplicate_text").alias("copied"))
 
 
@@ -54,6 +73,7 @@ def phrase_gaps(df: DataFrame, min_docs: int = 400, stop=(), max_company: float
             ratio(F.max(F.when(~by_product, F.col("n"))), n).alias("top_company_share"),
             ratio(copied, n).alias("template_share"),
         )
+        .where(F.col("cases") >= min_docs)      # a rare phrase may share its hash with a frequent one
         .where((F.col("top_company_share") <= max_company) & (F.col("template_share") <= max_template))
         .where(~F.col("phrase").isin(list(vague)))
         .withColumn("gap_pts", (F.col("relief_rate") - F.col("expected_rate")) * 100)
