@@ -1,12 +1,15 @@
 """Terms, vocabulary and TF-IDF as long tables (case_id, term, ...)."""
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from caseloom import settings as S
 from caseloom.functions import text as X
 from caseloom.operators.prefix import running
 from caseloom.plans.lineage import cut
 
+TABLE_TERMS = 100_000      # of a term table that a task holds before it hands them on
+
 
 def default_stop_words() -> list[str]:
     """General English list that ships with Spark, and the domain list. Needs a session."""
@@ -44,8 +47,30 @@ def term_table(df: DataFrame, text: str = "narrative_clean", key: str = "case_id
     """(key, carried columns, terms) with one row a case and its terms as (term, tf), written: texts are taken apart
     once, whatever the number of vocabularies and folds that read the table. Equal terms are counted where the case is:
     nothing moves. A case without words has no terms."""
-    words = df.select(key, *carry, X.tokens(F.col(text), stop).alias("_words"))
-    return cut(words.select(key, *carry, counted(X.ngrams(F.col("_words"), n)).alias("terms")))
+    kept, left_out = [df.schema[c] for c in (key, *carry)], frozenset(stop)
+    terms = StructType([StructField("term", StringType()), StructField("tf", LongType())])
+
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        for batch in batches:
+            low, own, ends = 0, [], [0]
+            for i, text in enumerate(batch.column("_text"), 1):
+                own += sorted(Counter(X.grams_of(text.as_py(), left_out, n)).items())
+                ends.append(len(own))
+                if i == len(batch) or len(own) >= TABLE_TERMS:
+                    held = pa.StructArray.from_arrays(
+                        [pa.array([t for t, _ in own], pa.string()), pa.array([k for _, k in own], pa.int64())], ["term", "tf"])
+                    part = batch.slice(low, i - low)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(f.name) for f in kept], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)],
+                        [*[f.name for f in kept], "terms"])
+                    low, own, ends = i, [], [0]
+
+    schema = StructType([*[StructField(f.name, f.dataType) for f in kept], StructField("terms", ArrayType(terms))])
+    return cut(df.select(key, *carry, F.col(text).alias("_text")).mapInArrow(run, schema))
 
 
 def counts_of(table: DataFrame, key: str = "case_id", carry: tuple[str, ...] = ()) -> DataFrame:
