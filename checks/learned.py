@@ -17,9 +17,11 @@ SEEDS = [
 
 def topic_fit(spark, sf):
     """(cases, vectors of all cases, model), fitted to the different texts of five words or more."""
-    df = cases_text(spark, sf)
-    terms = V.term_table(df, stop=STOP, carry=("text_group", "narrative_words"))
-    unique = cut(copies.first_per_group(terms).where("narrative_words >= 5"))
+    df = cut(cases_text(spark, sf).select("case_id", "narrative_clean", "text_group", "narrative_words"))
+    # first cases are marked before texts are taken apart: their terms are neither moved nor written again
+    firsts = copies.first_per_group(df.select("case_id", "text_group")).select("case_id").distinct().withColumn("first", F.lit(True))
+    terms = V.term_table(df.join(firsts, "case_id", "left"), stop=STOP, carry=("first", "narrative_words"))
+    unique = terms.where("first AND narrative_words >= 5")
     vocab = cut(V.vocabulary(unique.select(F.inline("terms")), unique, 10, 0.7, 30_000))
     model = topics.fit_topics(V.vectors(unique, vocab), vocab, SEEDS)
     return terms, V.vectors(terms, vocab), model
